@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality, shards, urls, warc
+from . import bpe, decontam, exact_dedup, quality, shards, urls, warc
 
 QUERIES = {
     "op2_url_trees": urls.op2_url_trees,
     "op3_grace_dedup": exact_dedup.op3_grace_dedup,
     "op4_zstd_quality": quality.op4_zstd_quality,
     "op6_virtual_slots": shards.op6_virtual_slots,
+    "op7_bm25_leaks": decontam.op7_bm25_leaks,
     "op8_warc_roundtrip": warc.op8_warc_roundtrip,
     "op9_prefix_bpe": bpe.op9_prefix_bpe,
 }
