@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -255,6 +256,11 @@ class _DigestEncoder(TextEncoder):
         return ",".join(map(str, ids)), len(ids), self.bpe.decode(ids)
 
 
+class _PackedEncoder(TextEncoder):
+    def pack(self, ids):
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def chunks(column, size: int = 2_000_000) -> Iterator[list[str]]:
     """The texts of an Arrow column, null as the empty text, in lists of about so many bytes."""
     texts, n = [], 0
@@ -340,5 +346,21 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """As encode_column, with the ids as 32-bit little-endian numbers in a row: (id, n_tokens, token_ids binary)."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        enc = coder(_PackedEncoder, vocabulary)
+        for batch in batches:
+            packed = [b"".join(packs) for texts in chunks(batch.column(1)) for packs in enc.packs(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=[id_col, "n_tokens", "token_ids"]
+            )
+
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, token_ids binary")
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))

@@ -51,6 +51,20 @@ def spill(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this number are sent to all executors to select rows; more are joined.
+SENT_IDS = 500_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """df's rows whose column is (left_semi) or is not (left_anti) in the one column of ids; distinct, without nulls.
+
+    The ids are broadcast only after they are counted to be few; else both sides are joined by shuffle.
+    """
+    ids = ids.toDF("_sought")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return df.join(F.broadcast(ids) if few else ids, df[column] == F.col("_sought"), how)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

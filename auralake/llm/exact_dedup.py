@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, shared_dir, spill, table, text_bytes
+from .common import by_ids, parts, spill, table, text_bytes
 
 #: Bytes of distinct contents that one table may hold.
 TABLE_BYTES = 48 << 20
@@ -196,9 +196,17 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_groups drops; its columns stay as they are."""
-    kept = exact_groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """df without the rows that exact_groups drops; its columns stay as they are.
+
+    The rows that go are found by their ids, so that the texts are not shuffled again. A row without an id goes
+    if its text occurs with an id, which is looked up by the text's digest.
+    """
+    groups = spill(exact_groups(df, id_col, text_col), "dedup-groups")
+    gone = spill(groups.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct(), "dedup-gone")
+    kept = by_ids(df.where(F.col(id_col).isNotNull()), gone, id_col, "left_anti")
+    named = groups.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return kept.unionByName(df.where(F.col(id_col).isNull()).join(named, sha == F.col("_sha"), "left_anti"))
 
 
 def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

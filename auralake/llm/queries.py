@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, quality, shards, urls, warc
+from . import bpe, decontam, exact_dedup, ngram_join, quality, shards, urls, warc
 
 QUERIES = {
     "op2_url_trees": urls.op2_url_trees,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_bm25_leaks": decontam.op7_bm25_leaks,
     "op8_warc_roundtrip": warc.op8_warc_roundtrip,
     "op9_prefix_bpe": bpe.op9_prefix_bpe,
+    "op10_adaptive_prefix": ngram_join.op10_adaptive_prefix,
 }
 
 #: DuckDB SQL by query; a query without an entry is tested against brute force in tests/llm.
