@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, ngram_join, quality, shards, urls, warc
+from . import bpe, decontam, exact_dedup, lm, ngram_join, quality, shards, urls, warc
 
 QUERIES = {
+    "op1_attention_lm": lm.op1_attention_lm,
     "op2_url_trees": urls.op2_url_trees,
     "op3_grace_dedup": exact_dedup.op3_grace_dedup,
     "op4_zstd_quality": quality.op4_zstd_quality,
