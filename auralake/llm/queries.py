@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, exact_dedup, lm, ngram_join, quality, shards, urls, warc
+from . import bpe, decontam, exact_dedup, licenses, lm, ngram_join, quality, shards, urls, warc
 
 QUERIES = {
     "op1_attention_lm": lm.op1_attention_lm,
     "op2_url_trees": urls.op2_url_trees,
     "op3_grace_dedup": exact_dedup.op3_grace_dedup,
     "op4_zstd_quality": quality.op4_zstd_quality,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_virtual_slots": shards.op6_virtual_slots,
     "op7_bm25_leaks": decontam.op7_bm25_leaks,
     "op8_warc_roundtrip": warc.op8_warc_roundtrip,
