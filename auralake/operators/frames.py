@@ -34,7 +34,7 @@ def overlap_add(windows: DataFrame, frame_ms: float) -> DataFrame:
     windows see a frame, how many speakers they count on average, rounded, and whether that is 1.75 or more."""
     place = F.round((F.col("offset_ms") + F.col("frame") * frame_ms) / frame_ms).cast("long")
     grid = windows.groupBy("file", place.alias("g")).agg(F.sum("active").alias("active"), F.count("*").alias("weight"))
-    mean = F.col("active") / (F.col("weight") + 1e-9)
+    mean = F.col("active") / F.greatest("weight", F.lit(1e-9))
     return grid.withColumn("mean", F.round(mean, 6)).withColumn("speakers", F.floor(mean + 0.5)).withColumn("overlap", mean >= 1.75)
 
 

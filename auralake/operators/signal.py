@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import hz_to_mel, mel_to_hz
 
@@ -116,11 +117,15 @@ def downmix(x: np.ndarray, channels: int) -> np.ndarray:
     return x.reshape(-1, channels).sum(1) / channels
 
 
-@F.pandas_udf("array<float>")
-def log_mel_column(samples: pd.Series) -> pd.Series:
+def _log_mel(samples):
     return samples.map(lambda s: log_mel(np.asarray(s)).ravel())
 
 
-@F.pandas_udf("array<float>")
-def fbank_column(samples: pd.Series) -> pd.Series:
+def _fbank(samples):
     return samples.map(lambda s: fbank(np.asarray(s)).ravel().astype(np.float32))
+
+
+for _f in (_log_mel, _fbank):
+    _f.__annotations__ = {"samples": pd.Series, "return": pd.Series}
+log_mel_column = F.pandas_udf(_log_mel, ArrayType(FloatType()))
+fbank_column = F.pandas_udf(_fbank, ArrayType(FloatType()))

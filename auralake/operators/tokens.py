@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,34 +86,30 @@ def merge(piece: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def encode_column(ranks: dict[tuple[str, str], int], ids: dict[str, int]):
     """A vectorised function from an array of pieces to token ids; unknown tokens are dropped."""
-    import pandas as pd
-
     sign = byte_alphabet()
 
-    @F.pandas_udf("array<bigint>")
-    def encode(pieces: pd.Series) -> pd.Series:
+    def encode(pieces):
         @lru_cache(100_000)
         def one(piece: str) -> tuple[int, ...]:
             return tuple(ids[t] for t in merge([sign[b] for b in piece.encode()], ranks) if t in ids)
 
         return pieces.map(lambda ps: [t for p in ps for t in one(p)])
 
-    return encode
+    encode.__annotations__ = {"pieces": pd.Series, "return": pd.Series}
+    return F.pandas_udf(encode, "array<bigint>")
 
 
 def decode_column(ids: dict[str, int]):
     """A vectorised function from token ids to text: ids that are absent are ignored, broken UTF-8 is replaced."""
-    import pandas as pd
-
     byte = {c: b for b, c in byte_alphabet().items()}
     tokens = {i: t for t, i in ids.items()}
 
-    @F.pandas_udf("string")
-    def decode_ids(rows: pd.Series) -> pd.Series:
+    def decode_ids(rows):
         text = lambda r: "".join(tokens.get(i, "") for i in r)
         return rows.map(lambda r: bytes(byte[c] for c in text(r) if c in byte).decode("utf-8", "replace"))
 
-    return decode_ids
+    decode_ids.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(decode_ids, "string")
 
 
 def prompt_tail(init, previous, n: int = PROMPT_TOKENS):

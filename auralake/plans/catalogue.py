@@ -186,7 +186,7 @@ _WINDOWS = "win AS (SELECT file, w * 5000 AS offset_ms, i - w * 50 AS frame, (p
 
 @query(f"""WITH {A.FRAMES}, {_WINDOWS},
 g AS (SELECT file, round((offset_ms + frame * 100.0) / 100.0)::BIGINT AS g, sum(active)::BIGINT AS active, count(*) AS weight FROM win GROUP BY ALL)
-SELECT file, g, active, weight, round(active / (weight + 1e-9), 6) AS mean, floor(active / (weight + 1e-9) + 0.5)::BIGINT AS speakers, active / (weight + 1e-9) >= 1.75 AS overlap FROM g""")
+SELECT file, g, active, weight, round(active / weight, 6) AS mean, floor(active / weight + 0.5)::BIGINT AS speakers, active / weight >= 1.75 AS overlap FROM g""")
 def overlap_add_grid(spark: SparkSession, d: str) -> DataFrame:
     """Windows of ten seconds, every five, put on one grid."""
     rows = _frames(spark, d)
