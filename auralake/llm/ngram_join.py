@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, parts, spill, table, text_bytes
@@ -24,8 +24,8 @@ WORDS, PERCENT = 4, 85
 CELLS = 1 << 22
 #: Numbers of prefix matches that a document may ask for, and the cost of a verification in prefix entries.
 MATCHES, VERIFY = (1, 2, 4, 8, 16), 40.0
-#: Members of one part of a pivot's group.
-PART = 256
+#: Members of one part of a pivot's group, and how often pivots are compared before groups are paired.
+PART, TURNS = 256, 2
 
 
 class _WordHashes(dict):
@@ -78,7 +78,7 @@ def similar(a, b, percent: int = PERCENT) -> bool:
 
 
 def prefix(hashes, level, percent: int = PERCENT):
-    """The prefix of a set and the number of matches it asks for: (hashes, l).
+    """The prefix of a set in the global order, its sketch levels and the number of matches it asks for: (hashes, levels, l).
 
     ``level``: the sketch's quantised frequencies, half-powers of 2, by cell. The cost of l is that of its prefix
     entries, each as many as the estimated frequency, and of verifying the candidates, of which each needs l entries.
@@ -98,7 +98,8 @@ def prefix(hashes, level, percent: int = PERCENT):
         cost = total + VERIFY * total / m + 8.0 * (n - must + m)
         if least is None or cost < least:
             least, best = cost, m
-    return hashes[order[: n - must + best]], best
+    taken = order[: n - must + best]
+    return hashes[taken], lv[taken], best
 
 
 def _sets(k: int):
@@ -164,34 +165,53 @@ def _levels(sketches: DataFrame):
     return np.rint(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
 
-def _prefix_rows(sent, k: int, percent: int):
-    """(node, text) rows to (token, node, n, l) rows."""
+def _prefix_rows(sent, k: int, percent: int, crowd: float):
+    """(node, text) rows to (token, node, n, l, pos, hot) rows. A token is hot if the sketch has it above ``crowd``;
+    the sketch counts too much at times, but never too little, so that no other token has more nodes than that."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        level = sent.value
+        level, names = sent.value, ["token", "node", "n", "l", "pos", "hot"]
         for batch in batches:
-            nodes, tokens, ns, ls, size = [], [], [], [], 0
+            held, size = [], 0
             for node, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 hashes = shingle_hashes(text, k)
                 if len(hashes):
-                    p, m = prefix(hashes, level, percent)
-                    tokens.append(p.view(np.int64))
-                    nodes.append(np.full(len(p), node, np.int64))
-                    ns.append(np.full(len(p), len(hashes), np.int32))
-                    ls.append(np.full(len(p), m, np.int32))
-                    size += len(p)
+                    p, lv, m = prefix(hashes, level, percent)
+                    c = len(p)
+                    held.append((p.view(np.int64), np.full(c, node, np.int64), np.full(c, len(hashes), np.int32), np.full(c, m, np.int32), np.arange(c, dtype=np.int32), lv > 2 * np.log2(crowd)))
+                    size += c
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, ns, ls)], names=["token", "node", "n", "l"])
-                    nodes, tokens, ns, ls, size = [], [], [], [], 0
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, ns, ls)], names=["token", "node", "n", "l"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
 
     return run
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The prefix tokens that several nodes have, those with the same nodes folded into one group:
+    (sig, node, n, l, pos, w), where w counts the tokens and pos is the first one's place.
+
+    Tokens that are not hot have a bounded number of nodes and need one shuffle; hot ones are summed before
+    they are shuffled and joined back, which Spark can split. The signature is a hash of the nodes; if two
+    groups' were equal, candidates would be added and none lost.
+    """
+    mark = [F.min("node"), F.max("node"), F.bit_xor(F.xxhash64("node")), F.sum(F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1 << 31))), F.count("*")]
+    names = ["lo", "hi", "s1", "s2", "c"]
+    w = Window.partitionBy("token")
+    cold = index.where("not hot").select("token", "node", "n", "l", "pos", *[m.over(w).alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi")
+    hot = index.where("hot")
+    hot = hot.join(hot.groupBy("token").agg(*[m.alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi"), "token").select(*cold.columns)
+    found = cold.unionByName(hot).groupBy(F.xxhash64("s1", "s2", "c").alias("sig"), "node").agg(
+        F.min("n").alias("n"), F.min("l").alias("l"), F.min("pos").alias("pos"), F.count("*").alias("w")
+    )
+    return found
+
+
 def _compare(k: int, percent: int):
     """(a, part, b, text) rows, sorted so that a's own text leads its part, to the links (a, b)."""
 
@@ -235,10 +255,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        least id: groups of copies are never compared.
     2. A second pass yields the nodes' prefix shingles in the sketch's order (see ``prefix``). Prefix
        shingles that only one node has are left out.
-    3. In every prefix shingle's group, all nodes are compared with two pivots only, then with two others: links
-       found so join most of a group of near copies. Only nodes of a group that are still in different components are
-       paired with each other, if they share as many prefix shingles as the lesser l asks for. Nodes in one
-       component need no more links, so none that matters is lost.
+    3. Shingles that the same nodes have are one group. In every group, all nodes are compared with two pivots only,
+       then with two others: links found so join most of a group of near copies. Only nodes of a group that are
+       still in different components are paired with each other, if their places in the global order allow for
+       the similarity and they share as many prefix shingles as the lesser l asks for. Nodes in one component need
+       no more links, so none that matters is lost.
     Similarity is taken on 64-bit shingle hashes of both whole texts.
     """
     spark = docs.sparkSession
@@ -251,34 +272,35 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = spill(full.join(rep, "digest").select("id", "n", "rep").unionByName(sets.where("digest is null").select("id", "n", F.col("id").alias("rep"))), "ngram-named")
     copies = named.where("id is null or id <> rep").select(F.col("id").alias("node")).where("node is not null").distinct()
     nodes = by_ids(own.where("node is not null").dropDuplicates(["node"]) if _repeats(sets) else own.where("node is not null"), copies, "node", "left_anti")
-    index = nodes.mapInArrow(_prefix_rows(sent, k, percent), "token long, node long, n int, l int")
-    index = spill(index, "ngram-index")
-    seen = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    shared = spill(index.join(seen, "token"), "ngram-shared")
+    crowd = 1000.0 + 16.0 * float((2.0 ** (sent.value.astype("float64") / 2)).mean())
+    index = nodes.mapInArrow(_prefix_rows(sent, k, percent, crowd), "token long, node long, n int, l int, pos int, hot boolean")
+    shared = spill(_shared(spill(index, "ngram-index")), "ngram-shared")
     texts = spill(by_ids(nodes, shared.select("node").distinct(), "node", "left_semi"), "ngram-texts")
 
-    fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    links, labels, tried, open_groups = None, None, None, shared.withColumn("c", F.col("node"))
-    for turn in range(2):
-        # Two pivots of each group, in an order that differs by turn.
-        rank = F.struct(F.xxhash64(F.col("c"), F.lit(turn)).alias("o"), "node", "n") if turn else F.struct(F.col("node").alias("o"), "node", "n")
-        pivots = open_groups.groupBy("token").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
-        pivots = pivots.select("token", F.explode(F.array("x", "y")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-        near = _labelled(pivots.withColumnRenamed("pivot", "node"), labels).withColumnsRenamed({"node": "pivot", "c": "pc"}) if labels is not None else pivots.withColumn("pc", F.col("pivot"))
-        pairs = open_groups.join(near, "token").where((F.col("c") != F.col("pc")) & fits)
-        pairs = spill(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "ngram-pairs")
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        tried = pairs if tried is None else tried.unionByName(fresh)
+    # No more can be shared than what comes before the first common token in both, and from it on.
+    most = F.least("pos", "ppos") + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos"))
+    fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
+    links, labels, tried, groups = None, None, None, shared.withColumn("c", F.col("node"))
+    for turn in range(TURNS):
+        # Pivots: first the node with the fewest rare tokens of its own, as the text has of which others are edited copies.
+        one = [F.col("pos").cast("long"), F.xxhash64(F.col("c"), F.lit(turn))][turn > 0]
+        two = [F.col("node"), F.xxhash64(F.col("node"), F.lit(turn))][turn > 0]
+        pick = [F.min(F.struct(o.alias("o"), "node", "n", "pos", "c")) for o in (one, two)]
+        pivots = groups.groupBy("sig").agg(F.array_distinct(F.array(*[p.dropFields("o") for p in pick])).alias("ps")).select("sig", F.explode("ps").alias("p"))
+        pivots = pivots.select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.c").alias("pc"))
+        pairs = groups.join(pivots, "sig").where((F.col("c") != F.col("pc")) & fits)
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        fresh = spill(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried = fresh if tried is None else tried.unionByName(fresh)
         found = spill(verified(fresh, texts, k, percent), "ngram-links")
         links = found if links is None else links.unionByName(found)
-        labels = spill(components(links), "ngram-labels")
+        labels = components(links)
         grouped = _labelled(shared, labels)
-        open_tokens = grouped.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        open_groups = spill(grouped.join(open_tokens, "token"), "ngram-open")
-    other = open_groups.select("token", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("c").alias("pc"))
+        groups = spill(grouped.join(grouped.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), "sig"), "ngram-open")
+    other = groups.select("sig", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("c").alias("pc"), F.col("pos").alias("ppos"))
     cross = (
-        open_groups.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("pc")) & fits)
-        .groupBy("a", "b").agg(F.count("*").alias("m"), F.first("l").alias("l"), F.first("pl").alias("pl"))
+        groups.withColumnRenamed("node", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("pc")) & fits)
+        .groupBy("a", "b").agg(F.sum("w").alias("m"), F.first("l").alias("l"), F.first("pl").alias("pl"))
         .where(F.col("m") >= F.least("l", "pl")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
     links = links.unionByName(spill(verified(spill(cross, "ngram-pairs"), texts, k, percent), "ngram-links"))
