@@ -238,7 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     sized = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", F.ceil(F.col("c") / PART).cast("int").alias("ways"))
     members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("part"), "b")
     heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part"), F.col("a").alias("b"))
-    rows = members.unionByName(heads).join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
+    # Merged by shuffle at every size, as it must be at a large one.
+    rows = members.unionByName(heads).join(texts.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "part", "b", "text")
     dealt = rows.repartition(max(parts(rows.sparkSession), 12), "a", "part").sortWithinPartitions("a", "part", (F.col("a") != F.col("b")).cast("int"))
     return dealt.mapInArrow(_compare(k, percent), "a long, b long")
 
@@ -277,8 +278,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spill(_shared(spill(index, "ngram-index")), "ngram-shared")
     texts = spill(by_ids(nodes, shared.select("node").distinct(), "node", "left_semi"), "ngram-texts")
 
-    # No more can be shared than what comes before the first common token in both, and from it on.
-    most = F.least("pos", "ppos") + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos"))
+    # Of a pair's first common prefix token, all tokens before it are in one of the two only: no more can be shared
+    # than what is left from there on. A similar pair passes this in the group of that token, so it may be asked in all.
+    most = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos"))
     fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
     links, labels, tried, groups = None, None, None, shared.withColumn("c", F.col("node"))
     for turn in range(TURNS):
@@ -297,11 +299,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         grouped = _labelled(shared, labels)
         groups = spill(grouped.join(grouped.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), "sig"), "ngram-open")
-    other = groups.select("sig", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("c").alias("pc"), F.col("pos").alias("ppos"))
+    other = groups.select("sig", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("pos").alias("ppos"))
+    cross = groups.withColumnRenamed("node", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("pc")) & fits)
+    cross = spill(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-cross")
     cross = (
-        groups.withColumnRenamed("node", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("pc")) & fits)
+        cross.join(groups.select(F.col("node").alias("a"), "sig", "l", "w"), "a").join(groups.select(F.col("node").alias("b"), "sig", F.col("l").alias("pl")), ["b", "sig"])
         .groupBy("a", "b").agg(F.sum("w").alias("m"), F.first("l").alias("l"), F.first("pl").alias("pl"))
-        .where(F.col("m") >= F.least("l", "pl")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        .where(F.col("m") >= F.least("l", "pl")).select("a", "b")
     )
     links = links.unionByName(spill(verified(spill(cross, "ngram-pairs"), texts, k, percent), "ngram-links"))
     final = components(links)
