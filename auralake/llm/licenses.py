@@ -156,3 +156,33 @@ def document_path() -> Column:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan(docs.select("doc_id", document_path().alias("path"), "text"))
+
+
+def _sql() -> str:
+    """The scan of documents in DuckDB SQL, every header against every template."""
+    v = Vectors()
+    idf = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(v.idf.items()))
+    weights = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE)" for k, t in enumerate(v.vectors) for w, x in t.items())
+    names = ", ".join(f"({k}, '{n}', {x!r}::DOUBLE)" for k, (n, x) in enumerate(zip(v.names, v.norms, strict=True)))
+    stop = ", ".join(f"'{w}'" for w in sorted(STOP))
+    return rf"""
+WITH idf(w, x) AS (VALUES {idf}), weight(k, w, x) AS (VALUES {weights}), template(k, name, norm) AS (VALUES {names}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), doc_id // 10000, doc_id // 100) AS dir FROM documents),
+cut AS (SELECT r, string_split(regexp_replace(text, '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS hs FROM d),
+h AS (SELECT r, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM cut),
+t AS (SELECT r, i, w, count(*) AS n FROM (SELECT r, i, unnest(regexp_extract_all(lower(h), '{TOKEN}')) AS w FROM h) WHERE w NOT IN ({stop}) GROUP BY r, i, w),
+vec AS (SELECT r, i, t.w, n * coalesce(x, {v.other!r}) AS x FROM t LEFT JOIN idf USING (w)),
+norm AS (SELECT r, i, sqrt(sum(x * x)) AS norm FROM vec GROUP BY r, i),
+score AS (SELECT r, i, name, round(sum(vec.x * weight.x) / (any_value(norm.norm) * any_value(template.norm)), 6) AS s FROM vec JOIN weight USING (w) JOIN template USING (k) JOIN norm USING (r, i) GROUP BY r, i, k, name),
+best AS (SELECT r, i, max({{'s': s, 'l': name}}) AS b FROM score WHERE s >= {COSINE} GROUP BY r, i),
+own AS (SELECT r, max(b) AS b, count(*) AS n, sum(length(h.h)) AS size FROM best JOIN h USING (r, i) GROUP BY r),
+f AS (SELECT d.*, b.l AS lic, b.s AS score, coalesce(n, 0) AS n, coalesce(size >= {FILE_SHARE} * length(text), false) AS is_file FROM d LEFT JOIN own USING (r)),
+mark AS (SELECT dir, max({{'s': score, 'l': lic}}).l AS there FROM f WHERE is_file GROUP BY dir),
+near AS (SELECT a.dir, max({{'d': depth, 'u': up, 't': there}}) AS x FROM (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS up
+  FROM (SELECT DISTINCT dir FROM f WHERE lic IS NULL), range(1, 4) g(depth)) a JOIN mark m ON a.up = m.dir GROUP BY a.dir)
+SELECT doc_id, f.dir || '/' || doc_id || '.txt' AS path, coalesce(lic, x.t) AS license, score, n AS n_headers, is_file, lic IS NULL AND x IS NOT NULL AS inherited, CASE WHEN lic IS NULL THEN x.u END AS from_dir
+FROM f LEFT JOIN near ON f.dir = near.dir
+"""
+
+
+OP5_SQL = _sql()

@@ -20,6 +20,8 @@ QUERIES = {
 #: DuckDB SQL by query; a query without an entry is tested against brute force in tests/llm.
 ORACLES = {
     "op3_grace_dedup": exact_dedup.OP3_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
     "op6_virtual_slots": shards.OP6_SQL,
     "op8_warc_roundtrip": warc.OP8_SQL,
+    "op10_adaptive_prefix": ngram_join.OP10_SQL,
 }
