@@ -42,7 +42,8 @@ class Vocabulary:
         """pairs[c, t]: how often id t follows an id of class c in the training corpus. Where that was seen little, the share alone counts."""
         few = np.float32(4)
         total = np.stack([np.bincount(self.cls[: pairs.shape[1]], p, self.classes) for p in pairs]).astype(np.float32)
-        self.after = (pairs + few * 10 ** self.share[: pairs.shape[1]]).astype(np.float32)
+        self.after = pairs.astype(np.float32)
+        self.after += few * 10 ** self.share[: pairs.shape[1]]
         self.after /= total[:, self.cls[: pairs.shape[1]]] + few
         np.log10(self.after, out=self.after)
 

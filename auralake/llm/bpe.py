@@ -27,6 +27,12 @@ from .common import table, text_bytes
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file's tokens and ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class PrefixBPE:
     """The merges of a rank file. ``ranks``: token bytes to rank, the rank being the id."""
 
@@ -43,8 +49,7 @@ class PrefixBPE:
 
     @classmethod
     def from_file(cls, path: str) -> PrefixBPE:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        return cls(read_ranks(path))
 
     def merge(self, piece: bytes) -> list[int]:
         """By repeated merges of the pair of lowest rank: the definition, for short pieces."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +30,8 @@ def _word_hash(word: bytes) -> int:
     return h - (_SIGN << 1) if h >= _SIGN else h
 
 
-class _WordIds(dict):
-    """The subword ids of a word with a space before it, as 16-bit numbers."""
+class _Words(dict):
+    """A number for each word since the last reset; by number, the word's subword ids (with a space before it) as 16-bit numbers."""
 
     def __init__(self, name: str):
         import struct
@@ -40,25 +39,26 @@ class _WordIds(dict):
         import public_tokenizers
         import tiktoken
 
-        from .bpe import PrefixBPE
+        from .bpe import read_ranks
 
-        ranks = PrefixBPE.from_file(public_tokenizers.path(name) if "/" not in name else name).ranks
+        ranks = read_ranks(public_tokenizers.path(name) if "/" not in name else name)
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.pack, self.size = struct.pack, max(ranks.values()) + 1
+        self.pack, self.size, self.ids = struct.pack, max(ranks.values()) + 1, []
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(" " + word.decode())
-        got = self.pack(f"<{len(ids)}H", *ids)
-        if len(word) < 40:
-            if len(self) > 300_000:
-                self.clear()
-            self[word] = got
-        return got
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.ids)
+        got = self.encode(" " + word.decode())
+        self.ids.append(self.pack(f"<{len(got)}H", *got))
+        return n
+
+    def reset(self) -> None:
+        self.clear()
+        self.ids = []
 
 
 @lru_cache(1)
-def _word_ids(name: str) -> _WordIds:
-    return _WordIds(name)
+def _words(name: str) -> _Words:
+    return _Words(name)
 
 
 def _prepare(name: str):
@@ -74,27 +74,43 @@ def _prepare(name: str):
             got = {"kind": pa.array(np.full(count, kind, np.int32))} | {k: x if isinstance(x, pa.Array) else pa.array(x, fields[k]) for k, x in columns.items()}
             return pa.RecordBatch.from_arrays([got[k] if k in got else pa.nulls(count, t) for k, t in fields.items()], names=list(fields))
 
-        table_, words = _word_ids(name), Counter()
-        id_counts = np.zeros(table_.size + 1, np.int64)
+        words = _words(name)
+        words.reset()
+        id_counts, seen = np.zeros(words.size + 1, np.int64), np.zeros(1 << 19, np.int64)
+
+        def counted():
+            """The counts of the words so far, after which the words begin anew."""
+            n = np.flatnonzero(seen[: len(words.ids)])
+            names = list(words)
+            got = rows(1, len(n), word=[_word_hash(names[i]) for i in n.tolist()], n=seen[n])
+            words.reset()
+            seen[:] = 0
+            return got
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sizes, ids = [], []
-                for text, held in zip(text_bytes(part.column(2)), part.column(1).to_pylist(), strict=True):
-                    tokens = text.lower().split()
-                    sizes.append(len(tokens) + 1)
-                    ids.append(b"".join(map(table_.__getitem__, tokens)))
-                    if not held:
-                        words.update(tokens)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sizes, ids, training, held = [], [], [], part.column(1).to_pylist()
+                for text, out in zip(text_bytes(part.column(2)), held, strict=True):
+                    numbers = list(map(words.__getitem__, text.lower().split()))
+                    sizes.append(len(numbers) + 1)
+                    ids.append(b"".join(map(words.ids.__getitem__, numbers)))
+                    if not out:
+                        training.append(np.array(numbers, np.int64))
+                if len(words.ids) > len(seen):
+                    seen = np.append(seen, np.zeros(len(words.ids), np.int64))
+                if training:
+                    every = np.bincount(np.concatenate(training), minlength=1)
+                    seen[: len(every)] += every
                 yield rows(0, part.num_rows, doc_id=part.column(0), held_out=part.column(1), n_tokens=sizes, text=part.column(2).cast(pa.string()), ids=ids)
-                trained = b"".join(x for x, h in zip(ids, part.column(1).to_pylist(), strict=True) if not h)
-                id_counts[:-1] += np.bincount(np.frombuffer(trained, np.uint16), minlength=table_.size)
-                id_counts[-1] += sum(not h for h in part.column(1).to_pylist())
+                trained = b"".join(x for x, h in zip(ids, held, strict=True) if not h)
+                id_counts[:-1] += np.bincount(np.frombuffer(trained, np.uint16), minlength=words.size)
+                id_counts[-1] += len(training)
                 if len(words) > 250_000:
-                    yield rows(1, len(words), word=[_word_hash(w) for w in words], n=list(words.values()))
-                    words = Counter()
-        if words:
-            yield rows(1, len(words), word=[_word_hash(w) for w in words], n=list(words.values()))
+                    yield counted()
+        if seen.any():
+            yield counted()
+        words.reset()
         if id_counts.any():
             yield rows(2, 1, blob=[packed(id_counts)])
 
@@ -110,6 +126,7 @@ def _collect_pairs(sent, share: float, trainers: int, name_size: int):
 
         from . import attention as A
 
+        _words.cache_clear()  # what an earlier stage left in this worker
         vocab = sent.value
         width = name_size + 1
         pairs, held, size = np.zeros(vocab.classes * width, np.int32), [], 0
@@ -193,11 +210,12 @@ def _score(sent, weights: bytes, hot, floor: float):
                 h = _word_hash(word)
                 v = known.get(h, h)
                 if len(word) < 40:
-                    if len(self) > 300_000:
+                    if len(self) > 150_000:
                         self.clear()
                     self[word] = v
                 return v
 
+        _words.cache_clear()  # what an earlier stage left in this worker
         known = dict(zip(hot.value[0].tolist(), hot.value[1].tolist(), strict=True))
         scorer, values = A.Scorer(A.unpack(np.frombuffer(weights, np.float32)), sent.value), Values()
         names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
@@ -264,7 +282,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocab = A.vocabulary(counts.astype(np.float64), np.zeros((0, 2 * A.BLOCK), np.int32))
     if some:
         sample, _, _ = A.windows([np.frombuffer(r.ids, np.uint16).astype(np.int32) for r in some], vocab)
-        vocab = A.vocabulary(counts.astype(np.float64), sample[np.random.default_rng(0).permutation(len(sample))[:40_000]])
+        vocab = A.vocabulary(counts.astype(np.float64), sample[np.random.default_rng(0).permutation(len(sample))[:10_000]])
     total = int(counts.sum())
     share = min(1.0, max(WINDOW_SHARE, LEAST_IDS / max(total, 1)))
     trainers = max(1, min(parts(spark), int(total * share / A.BLOCK) // PER_TRAINER))
