@@ -40,14 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def spill(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def spill(df: DataFrame, what: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads that back.
 
     This cuts the lineage: a lost executor costs no more than the reading of the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -265,7 +265,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     sc = spark.sparkContext
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_fold(F.col(id_col), folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = spill(own.mapInArrow(_prepare(vocabulary), _DOC).withColumn("rid", F.monotonically_increasing_id()), "lm-texts", ("kind",))
+    made = spill(own.mapInArrow(_prepare(vocabulary), _DOC).withColumn("rid", F.monotonically_increasing_id()), "lm-texts", ("kind",), "zstd")
     texts = made.where("kind = 0")
     words = spill(made.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     size = _vocabulary_size(vocabulary)
