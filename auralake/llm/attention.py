@@ -199,52 +199,69 @@ def gradient(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs:
     r, flat = vocab.row[ins], outs.ravel()
     x = p["E"][r] + p["P"]
     own = x[:, BLOCK:]
-    q, k, v = own @ p["Q"] * scale, x @ p["K"], x @ p["V"]
-    a = q @ k.transpose(0, 2, 1) + _MASK
-    a = np.exp(a - a.max(-1, keepdims=True))
+    flat_own, flat_x = own.reshape(-1, d), x.reshape(-1, d)
+    q = (flat_own @ (p["Q"] * scale)).reshape(own.shape)
+    k, v = (flat_x @ p["K"]).reshape(x.shape), (flat_x @ p["V"]).reshape(x.shape)
+    a = q @ k.transpose(0, 2, 1)
+    a += _MASK
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    o = a @ v
-    h = (own + o @ p["O"]).reshape(-1, d)
-    pre = h @ p["W1"] + p["b1"]
+    o = (a @ v).reshape(-1, d)
+    h = o @ p["O"]
+    h += flat_own
+    pre = h @ p["W1"]
+    pre += p["b1"]
     u = np.maximum(pre, 0)
-    z = h + u @ p["W2"]
-    g = z @ p["U"].T + p["b"]
+    z = u @ p["W2"]
+    z += h
+    g = z @ p["U"].T
+    g += p["b"]
     g -= g.max(1, keepdims=True)
     np.exp(g, out=g)
     g /= g.sum(1, keepdims=True)
     t, n = vocab.cls[np.maximum(flat, 0)], np.arange(len(flat))
     real = (flat >= 0).astype(np.float32)
-    total = max(real.sum(), 1)
+    total = np.float32(max(real.sum(), 1))
     loss = float(-(np.log(g[n, t] + 1e-20) * real).sum() / total)
     g[n, t] -= 1
     g *= (real / total)[:, None]
     out = {"U": g.T @ z, "b": g.sum(0)}
     dz = g @ p["U"]
     du = dz @ p["W2"].T
-    du[pre <= 0] = 0
+    du *= pre > 0
     out["W2"], out["W1"], out["b1"] = u.T @ dz, h.T @ du, du.sum(0)
     dh = dz + du @ p["W1"].T
-    out["O"] = o.reshape(-1, d).T @ dh
-    do = (dh @ p["O"].T).reshape(o.shape)
+    out["O"] = o.T @ dh
+    do = (dh @ p["O"].T).reshape(own.shape)
     da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    flat_own, flat_x = own.reshape(-1, d), x.reshape(-1, d)
-    out["Q"] = flat_own.T @ dq.reshape(-1, d)
-    out["K"], out["V"] = flat_x.T @ dk.reshape(-1, d), flat_x.T @ dv.reshape(-1, d)
-    dx = dk @ p["K"].T + dv @ p["V"].T
-    dx[:, BLOCK:] += dh.reshape(own.shape) + dq @ p["Q"].T
+    dv = (a.transpose(0, 2, 1) @ do).reshape(-1, d)
+    da -= np.einsum("bij,bij->bi", da, a)[..., None]
+    da *= a
+    dq, dk = (da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dq *= scale
+    out["Q"], out["K"], out["V"] = flat_own.T @ dq, flat_x.T @ dk, flat_x.T @ dv
+    dx = dk @ p["K"].T
+    dx += dv @ p["V"].T
+    dh += dq @ p["Q"].T
+    dx = dx.reshape(x.shape)
+    dx[:, BLOCK:] += dh.reshape(own.shape)
     out["P"] = dx.sum(0)
     out["E"] = np.zeros_like(p["E"])
-    np.add.at(out["E"], r.ravel(), dx.reshape(-1, d))
+    rows = r.ravel()
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out["E"][rows[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first)
     return loss, out
 
 
-def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np.ndarray, rate: float, seed: int, batch: int = 128) -> float:
-    """One pass of Adam over the windows, in a shuffled order; changes p. Returns the mean loss."""
-    order, step, losses = np.random.default_rng(seed).permutation(len(ins)), 0, []
-    m, s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np.ndarray, rate: float, seed: int, batch: int = 128, state: dict | None = None) -> float:
+    """One pass of Adam over the windows, in a shuffled order; changes p, and state, by which a later call goes on. Returns the mean loss."""
+    order, losses = np.random.default_rng(seed).permutation(len(ins)), []
+    state = {} if state is None else state
+    m, s = (state.setdefault(x, {k: np.zeros_like(y) for k, y in p.items()}) for x in "ms")
+    step = state.get("step", 0)
     for i in range(0, len(order), batch):
         at = order[i : i + batch]
         loss, grad = gradient(p, vocab, ins[at], outs[at])
@@ -254,4 +271,5 @@ def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np
             m[k] += 0.1 * (g - m[k])
             s[k] += 0.02 * (g * g - s[k])
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-6)
+    state["step"] = step
     return float(np.mean(losses)) if losses else 0.0

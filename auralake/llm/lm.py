@@ -13,8 +13,8 @@ from .common import id_fold, packed, parts, spill, summed, table, text_bytes
 
 #: Words with so many ranks are looked up in memory by every task; the counts of all others are joined.
 SENT_WORDS = 100_000
-#: The network learns from this share of all training windows, or from so many ids (repeated, of a small corpus); a trainer has so many windows.
-WINDOW_SHARE, LEAST_IDS, PER_TRAINER = 1 / 64, 4_000_000, 60_000
+#: A trainer has so many windows at least, and holds and shuffles so many at once.
+PER_TRAINER, HELD_WINDOWS = 60_000, 1 << 16
 #: Learning rates of the rounds; between rounds the trainers' weights are averaged.
 RATES = (0.01, 0.006, 0.003, 0.001)
 #: Documents from whose ids the classes are grouped.
@@ -117,8 +117,8 @@ def _prepare(name: str):
     return run
 
 
-def _collect_pairs(sent, share: float, trainers: int, name_size: int):
-    """(rid, ids) rows of training texts to rows (trainer, blob): the sampled windows, and with trainer null the counts of ids after classes."""
+def _count_pairs(sent, name_size: int):
+    """Rows of ids of training texts to the counts of ids after classes."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -130,46 +130,30 @@ def _collect_pairs(sent, share: float, trainers: int, name_size: int):
         vocab = sent.value
         width = name_size + 1
         pairs, held, size = np.zeros(vocab.classes * width, np.int32), [], 0
-        names, types = ["trainer", "blob"], [pa.int32(), pa.binary()]
 
         def count():
             nonlocal pairs
             pairs += np.bincount(np.concatenate(held), minlength=len(pairs)).astype(np.int32)
 
         for batch in batches:
-            chosen = []
             for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in part.column(1).to_pylist()]
-                ins, outs, sizes = A.windows(texts, vocab)
+                ins, outs, _ = A.windows([np.frombuffer(x, np.uint16).astype(np.int32) for x in batch.column(0).slice(at, 200).to_pylist()], vocab)
                 real = outs.ravel() >= 0
                 held.append(vocab.cls[ins[:, A.BLOCK :].ravel()[real]].astype(np.int64) * width + outs.ravel()[real])
                 size += len(held[-1])
                 if size > 1_000_000:
                     count()
                     held, size = [], 0
-                mix = np.repeat(part.column(0).to_numpy().astype(np.uint64), sizes) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(ins), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-                mix ^= mix >> np.uint64(31)
-                mix *= np.uint64(0xBF58476D1CE4E5B9)
-                mix ^= mix >> np.uint64(29)
-                take = (mix >> np.uint64(11)).astype(np.float64) / (1 << 53) < share
-                if take.any():
-                    chosen.append(np.concatenate([ins[take], outs[take]], axis=1).astype(np.uint16))
-            if chosen:
-                every = np.concatenate(chosen)
-                lots = np.arange(len(every)) % trainers
-                got = [(t, every[lots == t].tobytes()) for t in range(min(trainers, len(every)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=names)
         if held:
             count()
         if pairs.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], types[0]), pa.array([packed(pairs)], types[1])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([packed(pairs)], pa.binary())], names=["blob"])
 
     return run
 
 
-def _train_round(sent, weights: bytes, turn: int, repeats: int):
-    """A trainer's windows to its weights after the turn's windows, times their number, and the number."""
+def _train_round(sent, weights: bytes, turn: int):
+    """(rid, ids) rows of a trainer's texts to its weights after the turn's windows, times their number, and the number. Each window has one turn, by a hash of its text and place."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -177,19 +161,33 @@ def _train_round(sent, weights: bytes, turn: int, repeats: int):
 
         from . import attention as A
 
-        blobs = [x.as_py() for batch in batches for x in batch.column(0)]
-        if not blobs:
-            return
-        rows = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, 3 * A.BLOCK) for x in blobs]).astype(np.int32)
-        rows = rows[np.lexsort(rows.T[::-1])]  # whatever the order in which they came
-        lots = np.random.default_rng(7)
-        rows = rows[np.concatenate([lots.permutation(len(rows)) for _ in range(repeats)])[turn :: len(RATES)]]
-        outs = rows[:, 2 * A.BLOCK :]
-        outs[outs == 65535] = -1
-        p = A.unpack(np.frombuffer(weights, np.float32))
-        A.learn(p, sent.value, rows[:, : 2 * A.BLOCK], outs, RATES[turn], seed=turn)
-        flat = np.append(A.pack(p).astype(np.float64) * len(rows), float(len(rows)))
-        yield pa.RecordBatch.from_arrays([pa.array([packed(flat)], pa.binary())], names=["x"])
+        _words.cache_clear()  # what an earlier stage left in this worker
+        p, state, held, size, done = A.unpack(np.frombuffer(weights, np.float32)), {}, [], 0, 0
+
+        def learn():
+            nonlocal held, size, done
+            rows = np.concatenate(held)
+            A.learn(p, sent.value, rows[:, : 2 * A.BLOCK], rows[:, 2 * A.BLOCK :], RATES[turn], seed=turn, state=state)
+            held, size, done = [], 0, done + len(rows)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ins, outs, sizes = A.windows([np.frombuffer(x, np.uint16).astype(np.int32) for x in part.column(1).to_pylist()], sent.value)
+                mix = np.repeat(part.column(0).to_numpy().astype(np.uint64), sizes) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(ins), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+                mix ^= mix >> np.uint64(31)
+                mix *= np.uint64(0xBF58476D1CE4E5B9)
+                mix ^= mix >> np.uint64(29)
+                take = (mix >> np.uint64(11)) % np.uint64(len(RATES)) == turn
+                held.append(np.concatenate([ins[take], outs[take]], axis=1))
+                size += len(held[-1])
+                if size >= HELD_WINDOWS:
+                    learn()
+        if size:
+            learn()
+        if done:
+            flat = np.append(A.pack(p).astype(np.float64) * done, float(done))
+            yield pa.RecordBatch.from_arrays([pa.array([packed(flat)], pa.binary())], names=["x"])
 
     return run
 
@@ -250,9 +248,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. One pass cuts all texts, writes their subword ids and counts words and ids of the training texts.
        Word counts are added up by task before they are shuffled.
-    2. A second pass over the training ids counts ids after classes of ids and draws the training windows: a fixed
-       share of all of them, which grows with the corpus. Trainers learn from their windows side by
-       side and are averaged between rounds.
+    2. A second pass over the training ids counts ids after classes of ids. Then trainers learn side by side, each
+       from texts of its own, and are averaged between rounds. Every training window is learned from once, in one
+       of the rounds, whatever the corpus size; a trainer reads its ids anew in each round and keeps few of them.
     3. A third pass scores: the network batch by batch, the base by a table of the most frequent words. The other
        words' counts are joined to the texts by word and summed by text.
 
@@ -283,19 +281,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if some:
         sample, _, _ = A.windows([np.frombuffer(r.ids, np.uint16).astype(np.int32) for r in some], vocab)
         vocab = A.vocabulary(counts.astype(np.float64), sample[np.random.default_rng(0).permutation(len(sample))[:10_000]])
-    total = int(counts.sum())
-    share = min(1.0, max(WINDOW_SHARE, LEAST_IDS / max(total, 1)))
-    trainers = max(1, min(parts(spark), int(total * share / A.BLOCK) // PER_TRAINER))
-    repeats = min(8, max(1, round(LEAST_IDS / max(total * share, 1))))  # a small corpus is read more than once
+    trainers = max(1, int(counts.sum()) // A.BLOCK // PER_TRAINER)  # at most one for each piece of the texts' files
     sent = sc.broadcast(vocab)
-    drawn = spill(texts.where("not held_out").select("rid", "ids").mapInArrow(_collect_pairs(sent, share, trainers, size), "trainer int, blob binary"), "lm-windows")
-    pairs = summed(drawn.where("trainer is null").select("blob"), "int32")
+    pairs = summed(texts.where("not held_out").select("ids").mapInArrow(_count_pairs(sent, size), "blob binary"), "int32")
     weights = A.pack(A.fresh()).astype(np.float32)
-    dealt = spill(drawn.where("trainer is not null").repartitionById(trainers, F.col("trainer")).select("blob", "trainer"), "lm-trainers") if pairs is not None else None
-    for turn in range(len(RATES) if dealt is not None else 0):
-        one = dealt.repartitionById(trainers, F.col("trainer")).select("blob").mapInArrow(_train_round(sent, weights.tobytes(), turn, repeats), "x binary")
-        mean = summed(one, "float64")
-        weights = (mean[:-1] / mean[-1]).astype(np.float32)
+    learned = texts.where("not held_out").select("rid", "ids").coalesce(trainers)
+    for turn in range(len(RATES) if pairs is not None else 0):
+        mean = summed(learned.mapInArrow(_train_round(sent, weights.tobytes(), turn), "x binary"), "float64")
+        if mean is not None:
+            weights = (mean[:-1] / mean[-1]).astype(np.float32)
     if pairs is not None:
         vocab.condition(pairs.reshape(vocab.classes, size + 1))
     sent = sc.broadcast(vocab)

@@ -373,6 +373,23 @@ def test_language_model(spark, docs):
     assert lm.score_texts(empty(docs)).count() == 0
 
 
+def test_language_model_learns_from_every_window_once(spark, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks
+    lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sums, whole = [], lm.summed
+    monkeypatch.setattr(lm, "summed", lambda blobs, dtype: sums.append((dtype, whole(blobs, dtype))) or sums[-1][1])
+    r = random.Random(11)
+    rows = [(i, words(r, r.randint(0, 200))) for i in range(60)]
+    for n in (20, 60):
+        sums.clear()
+        lm.score_texts(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(3))
+        ids = [sum(len(lib.encode_ordinary(" " + w)) for w in t.lower().split()) for i, t in rows[:n] if zlib.crc32(str(i).encode()) % 10]
+        assert sum(x[-1] for kind, x in sums if kind == "float64") == sum(-(-(k + 1) // A.BLOCK) for k in ids)
+
+
 def test_attention_is_causal_normalised_and_learns():
     r = np.random.default_rng(0)
     texts = [(np.cumsum(r.integers(1, 3, 50)) % 40).astype(np.int32) for _ in range(120)]
