@@ -1,4 +1,4 @@
-"""Licence scans: TF-IDF cosine of headers to licence templates, and inheritance from the nearest directory with a licence file.
+"""Licence scans: TF-IDF cosine of headers to notices and of whole texts to full licences, and inheritance from the nearest directory with a licence file.
 
 All of it is column expressions and joins of directory paths.
 """
@@ -8,11 +8,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spill, table
 
 #: Notices by licence (SPDX names); fixed values.
 TEMPLATES = (
@@ -34,6 +36,8 @@ TEMPLATES = (
 )
 #: Least cosine of a match, and the share of its text that a licence file's notices have at least.
 COSINE, FILE_SHARE = 0.75, 0.5
+#: Least cosine of a whole text to a full licence.
+FILE_COSINE = 0.85
 #: Words without weight; fixed values.
 STOP = frozenset("a an and any are by for in into is of or the this to under v with without work".split())
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -111,13 +115,38 @@ def headers(text: Column, vectors: Vectors, cosine: float = COSINE) -> Column:
     return F.filter(F.filter(F.split(text, CUT), lambda h: h.rlike(vectors.pattern())), possible)
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
+@lru_cache(1)
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The full licences, by SPDX name."""
+    return tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def whole_files(texts: DataFrame, full: tuple[tuple[str, str], ...] | None = None, cosine: float = FILE_COSINE) -> DataFrame:
+    """Rows (_key, _text) to rows (_key, whole) of those whose cosine to a full licence, all words of both taken together, is at
+    least ``cosine``: struct(score, license) of the nearest, of equal ones the last name. Each key has one row."""
+    import pyarrow as pa
+
+    v = Vectors(full_texts() if full is None else full, cosine)
+    words = sorted(v.idf)
+    weights = {"_w": pa.array(words, pa.string()), "_idf": pa.array([v.idf[w] for w in words], pa.float64())}
+    weights |= {f"_t{k}": pa.array([t.get(w, 0.0) for w in words], pa.float64()) for k, t in enumerate(v.vectors)}
+    weights = texts.sparkSession.createDataFrame(pa.table(weights))
+    tokens = texts.where(F.col("_text").rlike(v.pattern())).select("_key", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(TOKEN), 0)).alias("_w"))
+    counts = tokens.where(~F.col("_w").isin(*sorted(STOP))).groupBy("_key", "_w").agg(F.count("*").cast("double").alias("n"))
+    x = F.col("n") * F.coalesce("_idf", F.lit(v.other))
+    sums = counts.join(F.broadcast(weights), "_w", "left").groupBy("_key").agg(F.sqrt(F.sum(x * x)).alias("norm"), *[F.coalesce(F.sum(x * F.col(f"_t{k}")), F.lit(0.0)).alias(f"d{k}") for k in range(len(v.names))])
+    scores = [F.struct(F.round(F.col(f"d{k}") / (F.col("norm") * own), 6).alias("score"), F.lit(name).alias("license")) for k, (name, own) in enumerate(zip(v.names, v.norms, strict=True))]
+    return sums.select("_key", F.array_max(F.array(*scores)).alias("whole")).where(F.col("whole.score") >= cosine)
+
+
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, cosine: float = COSINE, full: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """A row for each row of files: doc_id, path, license, score, n_headers, is_file, inherited, from_dir.
 
-    ``license`` is that of the header most like a template, if its cosine is at least ``cosine``; else the one of
+    ``license`` is that of the full licence that the whole text is most like, if that cosine is at least FILE_COSINE;
+    else that of the header most like a template, if its cosine is at least ``cosine``; else the one of
     the nearest directory above that has a licence file (``inherited`` is then true and ``from_dir`` the
-    directory). A licence file's matching headers are at least half of its text; of several in a directory the one with
-    the greatest score counts, then the last name. Null and empty texts have no header, a null path is in no
+    directory). A licence file is like a full licence (``full``, by default full_texts()), or its matching headers are at
+    least half of its text; of several in a directory the one with the greatest score counts, then the last name. Null and empty texts have no header, a null path is in no
     directory and inherits nothing. Repeated rows get a row each. Columns other than the three named are not read.
     """
     vectors = Vectors(templates, cosine)
@@ -125,15 +154,21 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     own = files.select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path"), text.alias("_text"))
     found = F.filter(F.transform(headers(F.col("_text"), vectors, cosine), lambda h: F.struct(vectors.best(h).alias("b"), F.length(h).alias("n"))), lambda m: m["b"]["score"] >= cosine)
     found = F.when(F.col("_text").rlike(vectors.pattern()), found)
+    # Texts that may be full licences are kept, until their cosines are known.
+    likely = F.col("_text").rlike(Vectors(full_texts() if full is None else full, FILE_COSINE).pattern())
     # A generator keeps the optimizer from writing the expression out once for each of its uses below.
-    rows = own.select("_id", "_path", F.length("_text").alias("_len"), F.explode(F.array(F.struct(found.alias("m")))).alias("_f"))
+    read = own.select("_id", "_path", "_text", F.length("_text").alias("_len"), F.explode(F.array(F.struct(found.alias("m"), likely.alias("t")))).alias("_f"))
+    read = spill(read.select("_id", "_path", "_len", "_f", F.when(F.col("_f.t"), F.col("_text")).alias("_text")).withColumn("_key", F.monotonically_increasing_id()), "license-texts")
+    whole = whole_files(read.where("_text is not null").select("_key", "_text"), full)
+    rows = read.select("_id", "_path", "_len", "_key", "_f")
     best, size = F.array_max(F.transform("_f.m", lambda m: m["b"])), F.aggregate("_f.m", F.lit(0), lambda s, m: s + m["n"])
     folder = F.when(F.col("_path").contains("/"), F.regexp_replace("_path", "/[^/]*$", ""))
+    rows = rows.join(whole, "_key", "left")
     rows = rows.select(
-        "_id", "_path", folder.alias("_dir"), best["license"].alias("_lic"), best["score"].alias("_score"),
-        F.greatest(F.coalesce(F.size("_f.m"), F.lit(0)), F.lit(0)).alias("_n"), F.coalesce(size >= FILE_SHARE * F.col("_len"), F.lit(False)).alias("_file"),
+        "_id", "_path", folder.alias("_dir"), F.coalesce(F.col("whole"), best)["license"].alias("_lic"), F.coalesce(F.col("whole"), best)["score"].alias("_score"),
+        F.greatest(F.coalesce(F.size("_f.m"), F.lit(0)), F.lit(0)).alias("_n"), (F.col("whole").isNotNull() | F.coalesce(size >= FILE_SHARE * F.col("_len"), F.lit(False))).alias("_file"),
     ).withColumn("_file", F.col("_file") & F.col("_lic").isNotNull())
-
+    rows = spill(rows, "license-rows")
     marks = rows.where(F.col("_file") & F.col("_dir").isNotNull()).groupBy("_dir").agg(F.max(F.struct("_score", "_lic"))["_lic"].alias("_there"))
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("up")))

@@ -299,6 +299,23 @@ def test_licenses(spark):
     assert [got[i].is_file for i in (0, 1, 5, 6)] == [False, True, True, True] and licenses.scan(df).count() == 10 and licenses.scan(df.where("false")).count() == 0
 
 
+def test_license_files_of_full_texts(spark):
+    full = dict(licenses.full_texts())
+    rows = [(i, f"{name}/COPYING", text) for i, (name, text) in enumerate(full.items())] + [(100 + i, f"{name}/src/a.c", "int main;") for i, name in enumerate(full)]
+    v = licenses.Vectors(tuple(full.items()))
+    edited = "Copyright (c) 2031 Some Body, all of it\n\n" + " ".join(full["MIT"].replace("MIT License", "").split())
+    rows += [(200, "own/LICENSE", edited), (201, "own/x", "nothing"), (202, "long/LICENSE", full["MIT"] + " other words here" * 400), (203, "long/x", "nothing"), (204, "two/LICENSE", edited), (205, None, edited)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(full):
+        assert (got[i].license, got[i].is_file, got[i].inherited, got[i].score) == (name, True, False, 1.0)
+        assert (got[100 + i].license, got[100 + i].is_file, got[100 + i].inherited, got[100 + i].from_dir) == (name, False, True, name)
+    c = collections.Counter(w for w in re.findall(licenses.TOKEN, edited.lower()) if w not in licenses.STOP)
+    vec, k = {w: n * v.idf.get(w, v.other) for w, n in c.items()}, v.names.index("MIT")
+    want = sum(x * v.vectors[k].get(w, 0) for w, x in vec.items()) / math.sqrt(sum(x * x for x in vec.values())) / v.norms[k]
+    assert want >= licenses.FILE_COSINE and all(abs(got[i].score - want) < 1e-6 and got[i].is_file and got[i].license == "MIT" for i in (200, 204, 205))
+    assert (got[201].license, got[201].inherited, got[202].is_file, got[203].license) == ("MIT", True, False, None) and len(got) == len(rows)
+
+
 def test_license_scores_like_brute_force(spark):
     r = random.Random(4)
     v = licenses.Vectors()
