@@ -35,8 +35,8 @@ BORDERS = {
     "suffix1_rate": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9),
     "suffix2_rate": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9),
 }
-#: How many suffixes have a statistic of their own; all others have the mean rate.
-SUFFIXES = 64
+#: So many suffixes' rates are sent to all executors; more are joined by shuffle.
+SENT_SUFFIXES = 100_000
 
 
 def parts_of(url: Column) -> tuple[Column, Column]:
@@ -108,8 +108,8 @@ class Node:
 @dataclass
 class Model:
     base: float
-    suffix1: dict[str, float]
-    suffix2: dict[str, float]
+    suffix1: DataFrame | None
+    suffix2: DataFrame | None
     mean: float
     trees: list[Node]
 
@@ -123,19 +123,11 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def _rate(host: Column, labels: int, rates: dict[str, float], mean: float) -> Column:
-    if not rates:
-        return F.lit(mean)
-    known = F.create_map(*[F.lit(x) for kv in sorted(rates.items()) for x in kv])
-    return F.coalesce(F.try_element_at(known, _suffix(host, labels)), F.lit(mean))
-
-
-def _rates(labelled: DataFrame, labels: int, mean: float) -> dict[str, float]:
-    top = (
-        labelled.groupBy(_suffix(F.col("host"), labels).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-        .orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    )
-    return {r.s: (r.y + 10 * mean) / (r.n + 10) for r in top}
+def _rates(labelled: DataFrame, labels: int, mean: float) -> DataFrame:
+    """The rate of each labelled suffix. The mean rate, which suffixes without labels have, counts like ten urls."""
+    counts = labelled.groupBy(_suffix(F.col("host"), labels).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    rates = spill(counts.select(F.col("s").alias(f"_s{labels}"), ((F.col("y") + 10 * mean) / (F.col("n") + 10)).alias(f"_rate{labels}")), "url-suffixes")
+    return F.broadcast(rates) if rates.limit(SENT_SUFFIXES + 1).count() <= SENT_SUFFIXES else rates
 
 
 def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.3, l2: float = 1.0) -> Model:
@@ -148,7 +140,7 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
     total = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     n, y = total.n, total.y or 0
     mean = (y + 1) / (n + 2)
-    model = Model(math.log(mean / (1 - mean)), {}, {}, mean, [])
+    model = Model(math.log(mean / (1 - mean)), None, None, mean, [])
     if not 0 < y < n:
         return model
     model.suffix1, model.suffix2 = _rates(labelled, 1, mean), _rates(labelled, 2, mean)
@@ -189,10 +181,11 @@ def _split(leaf: Node, sums: list[tuple[str, int, float, float]], rate: float, l
 
 def binned(df: DataFrame, model: Model) -> DataFrame:
     """df (url, host, path, ...) with the bins of all features in columns of the features' names."""
-    host = F.col("host")
-    found = features(F.col("url"), host, F.col("path")) | {
-        "suffix1_rate": _rate(host, 1, model.suffix1, model.mean), "suffix2_rate": _rate(host, 2, model.suffix2, model.mean),
-    }
+    host, found = F.col("host"), features(F.col("url"), F.col("host"), F.col("path"))
+    for labels, rates in ((1, model.suffix1), (2, model.suffix2)):
+        if rates is not None:
+            df = df.join(rates, _suffix(host, labels) == F.col(f"_s{labels}"), "left")
+        found[f"suffix{labels}_rate"] = F.lit(model.mean) if rates is None else F.coalesce(f"_rate{labels}", F.lit(model.mean))
     kept = [c for c in ("page_id", "host", "path", "rule", "judged", "y") if c in df.columns]
     return df.select(*kept, *[_bin(found[k], b).alias(k) for k, b in BORDERS.items()])
 

@@ -254,6 +254,18 @@ def test_trees_find_a_split(spark):
     assert all((r.p > 0.5) == bool(r.y) for r in got) and model.trees[0].feature
 
 
+@pytest.mark.parametrize("sent", [100_000, 5])
+def test_every_suffix_has_its_rate(spark, monkeypatch, sent):
+    monkeypatch.setattr(urls, "SENT_SUFFIXES", sent, raising=False)  # the second joins by shuffle
+    rows = [(f"http://h.d{i}.net/{j}", f"h.d{i}.net", f"/{j}", i % 2) for i in range(100, 250) for j in range(10)]
+    df = spark.createDataFrame([*rows, ("http://h.none.net/1", "h.none.net", "/1", None)], "url string, host string, path string, y long")
+    model = urls.train(df.where("y is not null"), trees=3, depth=2)
+    got = urls.binned(df, model).withColumn("p", model.score()).collect()
+    mean = (750 + 1) / 1502
+    want = {y: sum(x <= (10 * y + 10 * mean) / 20 for x in urls.BORDERS["suffix2_rate"]) for y in (0, 1)} | {None: sum(x <= mean for x in urls.BORDERS["suffix2_rate"])}
+    assert len(got) == 1501 and all(r.suffix2_rate == want[r.y] and (r.y is None or (r.p > 0.5) == bool(r.y)) for r in got)
+
+
 def test_warc(spark, docs):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/é ?\n").alias("url"), F.col("text").alias("html"), "id", "content")
     rows = [(r.page_id, r.html or "") for r in pages.collect()]
