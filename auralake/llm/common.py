@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,16 @@ def id_fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver share.
+    """The folder that every executor and the driver share: what the cluster names in ``spark.checkpoint.dir``.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only a session without that setting
-    (tests, local runs) gets a folder below the warehouse.
+    Only a session in local mode may do without that setting, and then gets a folder below its warehouse.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -48,7 +48,57 @@ def spill(df: DataFrame, what: str, partition_by: tuple[str, ...] = (), codec: s
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._spilled = path
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes spilled tables of which all that was made from them is itself written."""
+    for df in tables:
+        if df is not None:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(df._spilled)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What Python workers keep from task to task: the clearing functions by operator, and the operator that ran last.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+_owner = ""
+
+
+def kept(owner: str):
+    """As lru_cache, for what one operator's tasks pass on to its next tasks in the same (reused) worker process."""
+
+    def wrap(f):
+        cached = lru_cache(4)(f)
+        _KEPT.setdefault(owner, []).append(cached.cache_clear)
+        return cached
+
+    return wrap
+
+
+def take_over(owner: str) -> None:
+    """Called at the start of an operator's task: what other operators kept in this worker goes back to the system."""
+    global _owner
+    if _owner == owner:
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for name, clear in _KEPT.items():
+        if name != owner:
+            for f in clear:
+                f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+    _owner = owner
 
 
 #: Ids up to this number are sent to all executors to select rows; more are joined.
@@ -65,6 +115,21 @@ def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[column] == F.col("_sought"), how)
 
 
+#: Keys with more than a part in so many of all rows are joined by broadcast: there are no more of them than that.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str = "c") -> DataFrame:
+    """rows with the columns of found, which has a row for each key, and in ``count`` the number of rows of that key (dropped).
+
+    Keys of many rows are joined where the rows are, all others by shuffle, so that no key makes a large task. Keys aren't null.
+    """
+    often = max(256, rows.count() // HOT_KEYS)
+    hot = found.where(F.col(count) > often).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col(count) <= often).drop(count), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import discard, spill
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: every node sends its lesser neighbours, and itself, to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = spill(_below(small), "links")
+        before, edges = edges, spill(_below(small), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             break
         state = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found._spilled = edges._spilled  # for discard()
+    return found
 
 
 def _below(edges: DataFrame) -> DataFrame:

@@ -9,22 +9,24 @@ shingles as the lesser l of the two before it is verified.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, parts, spill, table, text_bytes
+from .common import by_ids, discard, join_counted, kept, parts, spill, table, take_over, text_bytes
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Counters of the frequency sketch (a power of 2); its size is fixed, whatever the corpus.
-CELLS = 1 << 22
+#: The frequency sketch has a counter for every four shingles of the corpus, within these bounds (powers of 2), in so many slabs.
+LEAST_CELLS, MOST_CELLS, SLABS = 1 << 16, 1 << 25, 64
+#: Shingles that a task holds before it counts them.
+HELD = 1_500_000
 #: Numbers of prefix matches that a document may ask for, and the cost of a verification in prefix entries.
 MATCHES, VERIFY = (1, 2, 4, 8, 16), 40.0
-#: Members of one part of a pivot's group, and how often pivots are compared before groups are paired.
+#: Members of one part of a group, and how often pivots are compared before the rest of the groups is paired.
 PART, TURNS = 256, 2
 
 
@@ -34,13 +36,13 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-@lru_cache(1)
+@kept("ngram")
 def _hashes() -> _WordHashes:
     return _WordHashes()
 
@@ -77,6 +79,14 @@ def similar(a, b, percent: int = PERCENT) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
+def cell_of(hashes, cells: int):
+    """The counters of hashes in a sketch of so many cells: the slab, then the place in it. A smaller sketch folds a larger one's slabs."""
+    import numpy as np
+
+    at = (hashes >> np.uint64(6)) & np.uint64(cells // SLABS - 1)
+    return ((hashes & np.uint64(SLABS - 1)) * np.uint64(cells // SLABS) + at).astype(np.int64)
+
+
 def prefix(hashes, level, percent: int = PERCENT):
     """The prefix of a set in the global order, its sketch levels and the number of matches it asks for: (hashes, levels, l).
 
@@ -86,7 +96,7 @@ def prefix(hashes, level, percent: int = PERCENT):
     import numpy as np
 
     n = len(hashes)
-    lv = level[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+    lv = level[cell_of(hashes, len(level))]
     order = np.lexsort((hashes, lv))
     must = -(-percent * n // 100)
     seen = np.cumsum(2.0 ** (lv[order].astype(np.float64) / 2))
@@ -103,18 +113,21 @@ def prefix(hashes, level, percent: int = PERCENT):
 
 
 def _sets(k: int):
-    """(id, text) rows to (id, n, digest) rows, and at the end the partition's sketch in a row of its own."""
+    """(id, text) rows to (id, n, digest) rows, and now and then the counts of the sketch's cells so far, slab by slab, in rows of their own."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["id", "n", "digest", "sketch"]
-        counts, held, size = np.zeros(CELLS, np.uint32), [], 0
+        take_over("ngram")
+        names, types = ["id", "n", "digest", "slab", "sketch"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        held, size = [], 0
 
-        def count():
-            cells, n = np.unique((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
-            counts[cells] += n.astype(np.uint32)
+        def counted():
+            cells, n = np.unique(np.concatenate([cell_of(h, MOST_CELLS).astype(np.uint32) for h in held]), return_counts=True)
+            cut = np.searchsorted(cells, np.arange(SLABS + 1, dtype=np.uint64) * (MOST_CELLS // SLABS))
+            blobs = [_packed(cells[i:j] % np.uint32(MOST_CELLS // SLABS), n[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.nulls(SLABS, t) for t in types[:3]] + [pa.array(range(SLABS), types[3]), pa.array(blobs, types[4])], names=names)
 
         for batch in batches:
             ids, ns, digests = batch.column(0), [], []
@@ -124,56 +137,81 @@ def _sets(k: int):
                 digests.append(hashlib.md5(hashes.tobytes()).digest() if len(hashes) else None)
                 held.append(hashes)
                 size += len(hashes)
-                if size > 500_000:
-                    count()
+                if size > HELD:
+                    yield counted()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ns), pa.binary())], names=names)
-        if held:
-            count()
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed(counts)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, types[1]), pa.array(digests, types[2]), pa.nulls(len(ns), types[3]), pa.nulls(len(ns), types[4])], names=names)
+        if size:
+            yield counted()
 
     return run
 
 
-def _packed(counts) -> bytes:
-    return zlib.compress(counts.tobytes(), 1)
+def _packed(cells, n) -> bytes:
+    """Sorted cells of a slab and their counts: the low bytes of steps and counts, then the high ones, and apart what is greater."""
+    import numpy as np
+
+    both = np.concatenate([np.diff(cells.astype(np.int64), prepend=0), n.astype(np.int64)])
+    large = np.flatnonzero(both > 0xFFFF)
+    planes = np.where(both > 0xFFFF, 0, both).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return zlib.compress(np.int64([len(cells), len(large)]).tobytes() + large.tobytes() + both[large].tobytes() + planes, 1)
 
 
-def _sum_sketches(batches) -> Iterator:
+def _unpacked(blob: bytes):
     import numpy as np
-    import pyarrow as pa
 
-    total = np.zeros(CELLS, np.uint64)
-    for batch in batches:
-        for x in batch.column(0):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([_packed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], names=["sketch"])
+    raw = zlib.decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    low, high = np.frombuffer(raw, np.uint8, offset=16 + 16 * m).reshape(2, -1).astype(np.int64)
+    both = low | high << 8
+    both[np.frombuffer(raw, np.int64, m, 16)] = np.frombuffer(raw, np.int64, m, 16 + 8 * m)
+    return np.cumsum(both[:n]), both[n:]
+
+
+def _sum_slabs(cells: int):
+    """(slab, sketch) rows to (slab, levels) rows: the counts of all rows of a slab, folded to a sketch of so many cells, in half-powers of 2."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        take_over("ngram")
+        total: dict[int, object] = {}
+        for batch in batches:
+            for slab, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, n = _unpacked(blob.as_py())
+                if slab not in total:
+                    total[slab] = np.zeros(cells // SLABS, np.int64)
+                np.add.at(total[slab], at % (cells // SLABS), n)
+        for slab, x in total.items():
+            level = np.rint(2 * np.log2(np.maximum(x, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["slab", "levels"])
+
+    return run
 
 
-def _levels(sketches: DataFrame):
-    """The frequencies of all sketches together, in half-powers of 2: 4 MB for the driver, whatever the corpus.
-    They are summed in groups first, and the groups' sums in one task."""
+def _levels(sketches: DataFrame, shingles: int):
+    """The frequencies of all sketches together, in half-powers of 2: a byte a cell for the driver, MOST_CELLS of them at most. Slabs are summed side by side."""
     import numpy as np
 
-    n = parts(sketches.sparkSession)
-    some = sketches.repartition(n).mapInArrow(_sum_sketches, "sketch binary")
-    one = some.coalesce(1).mapInArrow(_sum_sketches, "sketch binary").collect() if n <= 64 else (
-        some.repartition(16).mapInArrow(_sum_sketches, "sketch binary").coalesce(1).mapInArrow(_sum_sketches, "sketch binary").collect())
-    total = np.frombuffer(zlib.decompress(one[0].sketch), np.uint32) if one else np.zeros(CELLS, np.uint32)
-    return np.rint(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << math.ceil(math.log2(max(shingles, 4) / 4))))
+    slabs = sketches.repartition(SLABS, "slab").mapInArrow(_sum_slabs(cells), "slab int, levels binary").collect()
+    level = np.zeros(cells, np.uint8)
+    for r in slabs:
+        level[r.slab * (cells // SLABS) : (r.slab + 1) * (cells // SLABS)] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
+    return level
 
 
 def _prefix_rows(sent, k: int, percent: int, crowd: float):
-    """(node, text) rows to (token, node, n, l, pos, hot) rows. A token is hot if the sketch has it above ``crowd``;
-    the sketch counts too much at times, but never too little, so that no other token has more nodes than that."""
+    """(node, text) rows to (token, node, n, l, pos, ways) rows. A token that the sketch has above ``crowd`` is hot and
+    to be dealt in so many ways; the sketch counts too much at times, but never too little, so that all others (0) have no more nodes than that."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        level, names = sent.value, ["token", "node", "n", "l", "pos", "hot"]
+        take_over("ngram")
+        level, names = sent.value, ["token", "node", "n", "l", "pos", "ways"]
         for batch in batches:
             held, size = [], 0
             for node, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
@@ -181,7 +219,9 @@ def _prefix_rows(sent, k: int, percent: int, crowd: float):
                 if len(hashes):
                     p, lv, m = prefix(hashes, level, percent)
                     c = len(p)
-                    held.append((p.view(np.int64), np.full(c, node, np.int64), np.full(c, len(hashes), np.int32), np.full(c, m, np.int32), np.arange(c, dtype=np.int32), lv > 2 * np.log2(crowd)))
+                    many = 2.0 ** (lv.astype(np.float64) / 2)
+                    ways = np.where(many * 1.2 > crowd, np.minimum(np.ceil(many / PART), 1 << 20), 0).astype(np.int32)  # levels are rounded, by a fifth at most
+                    held.append((p.view(np.int64), np.full(c, node, np.int64), np.full(c, len(hashes), np.int32), np.full(c, m, np.int32), np.arange(c, dtype=np.int32), ways))
                     size += c
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
@@ -192,24 +232,63 @@ def _prefix_rows(sent, k: int, percent: int, crowd: float):
     return run
 
 
+def _dealt(small: DataFrame, ways) -> DataFrame:
+    """A table of one row a key, repeated for each of the ways in which the other table deals out its rows of that key."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1)))
+
+
+def _salt(ways):
+    return F.pmod(F.xxhash64("node"), F.greatest(ways, F.lit(1)).cast("long")).cast("int")
+
+
 def _shared(index: DataFrame) -> DataFrame:
     """The prefix tokens that several nodes have, those with the same nodes folded into one group:
-    (sig, node, n, l, pos, w), where w counts the tokens and pos is the first one's place.
+    (sig, node, n, l, pos, w, ways), where w counts the tokens, pos is the first one's place and ways says in how many parts the group is dealt out.
 
     Tokens that are not hot have a bounded number of nodes and need one shuffle; hot ones are summed before
-    they are shuffled and joined back, which Spark can split. The signature is a hash of the nodes; if two
+    they are shuffled and joined back, in as many parts as they need. The signature is a hash of the nodes; if two
     groups' were equal, candidates would be added and none lost.
     """
     mark = [F.min("node"), F.max("node"), F.bit_xor(F.xxhash64("node")), F.sum(F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1 << 31))), F.count("*")]
     names = ["lo", "hi", "s1", "s2", "c"]
     w = Window.partitionBy("token")
-    cold = index.where("not hot").select("token", "node", "n", "l", "pos", *[m.over(w).alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi")
-    hot = index.where("hot")
-    hot = hot.join(hot.groupBy("token").agg(*[m.alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi"), "token").select(*cold.columns)
-    found = cold.unionByName(hot).groupBy(F.xxhash64("s1", "s2", "c").alias("sig"), "node").agg(
-        F.min("n").alias("n"), F.min("l").alias("l"), F.min("pos").alias("pos"), F.count("*").alias("w")
+    cold = index.where("ways = 0").select("token", "node", "n", "l", "pos", *[m.over(w).alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi")
+    hot = index.where("ways > 0").withColumn("salt", _salt(F.col("ways")))
+    sums = hot.groupBy("token").agg(F.max("ways").alias("ways"), *[m.alias(k) for m, k in zip(mark, names, strict=True)]).where("lo <> hi")
+    hot = hot.drop("ways").join(_dealt(sums, F.col("ways")), ["token", "salt"]).select(*cold.columns)
+    return cold.unionByName(hot).groupBy(F.xxhash64("s1", "s2", "c").alias("sig"), "node").agg(
+        F.min("n").alias("n"), F.min("l").alias("l"), F.min("pos").alias("pos"), F.count("*").alias("w"), F.ceil(F.max("c") / PART).cast("int").alias("ways")
+    )
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """The groups whose members are in several components c."""
+    several = groups.groupBy("sig").agg(F.max("ways").alias("_ways"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi")
+    several = _dealt(several.select("sig", "_ways"), F.col("_ways")).drop("_ways")
+    return groups.withColumn("salt", _salt(F.col("ways"))).join(several, ["sig", "salt"]).drop("salt")
+
+
+def _pivots(groups: DataFrame, turn: int) -> DataFrame:
+    """Two members of every group, dealt out: first the one whose first token is the rarest for it, as the text has of which others are edited copies."""
+    one = [F.col("pos").cast("long"), F.xxhash64(F.col("c"), F.lit(turn))][turn > 0]
+    two = [F.col("node"), F.xxhash64(F.col("node"), F.lit(turn))][turn > 0]
+    pick = [F.min(F.struct(o.alias("o"), "node", "n", "pos", "c")) for o in (one, two)]
+    found = groups.groupBy("sig").agg(F.max("ways").alias("_ways"), F.array_distinct(F.array(*[p.dropFields("o") for p in pick])).alias("ps"))
+    found = found.select("sig", "_ways", F.explode("ps").alias("p")).select(
+        "sig", "_ways", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.c").alias("pc")
     )
-    return found
+    return _dealt(found, F.col("_ways")).drop("_ways")
+
+
+def enough(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) that have as many prefix shingles in common as the lesser l of the two asks for."""
+    mine = shared.select(F.col("node").alias("a"), "sig", "l", "w")
+    theirs = shared.select(F.col("node").alias("b"), "sig", F.col("l").alias("pl"))
+    return (
+        pairs.join(mine, "a").join(theirs, ["b", "sig"]).groupBy("a", "b")
+        .agg(F.sum("w").alias("m"), F.min("l").alias("l"), F.min("pl").alias("pl"), F.max("ways").alias("ways"))
+        .where(F.col("m") >= F.least("l", "pl")).select("a", "b", "ways")
+    )
 
 
 def _compare(k: int, percent: int):
@@ -218,6 +297,7 @@ def _compare(k: int, percent: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("ngram")
         key, own = None, None
         for batch in batches:
             found = []
@@ -234,87 +314,124 @@ def _compare(k: int, percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar. The members of a are compared in parts, so that a hot one is split."""
-    sized = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", F.ceil(F.col("c") / PART).cast("int").alias("ways"))
-    members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("part"), "b")
-    heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part"), F.col("a").alias("b"))
+    """Those of the pairs (a, b, ways) that are similar. The members of a are compared in parts, so that a hot one is split.
+    Only the texts of nodes that are in a pair are moved."""
+    members = pairs.select("a", F.pmod(F.xxhash64("b"), F.greatest("ways", F.lit(1)).cast("long")).cast("int").alias("part"), "b")
+    rows = members.unionByName(members.select("a", "part").distinct().withColumn("b", F.col("a")))
+    sought = by_ids(texts, rows.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
     # Merged by shuffle at every size, as it must be at a large one.
-    rows = members.unionByName(heads).join(texts.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "part", "b", "text")
+    rows = rows.join(sought.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "part", "b", "text")
     dealt = rows.repartition(max(parts(rows.sparkSession), 12), "a", "part").sortWithinPartitions("a", "part", (F.col("a") != F.col("b")).cast("int"))
     return dealt.mapInArrow(_compare(k, percent), "a long, b long")
 
 
+def _digests(k: int):
+    """(id, text) rows to (id, n, digest, text) rows."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        take_over("ngram")
+        for batch in batches:
+            found = [shingle_hashes(t, k) for t in text_bytes(batch.column(1))]
+            digests = [hashlib.md5(h.tobytes()).digest() if len(h) else None for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.binary()), batch.column(1)], names=["id", "n", "digest", "text"])
+
+    return run
+
+
+def _nodes(own: DataFrame, sets: DataFrame, k: int):
+    """The distinct sets as nodes: rows by node (id, n, node: null without shingles), nodes (node, first: the least id, c: how many rows), a text of each.
+
+    Where every row has an id of its own, a node is named by the least id of its rows; else its rows are numbered.
+    """
+    if sets.where("id is null").limit(1).count() or sets.groupBy("id").count().where("count > 1").limit(1).count():
+        rows = spill(own.mapInArrow(_digests(k), "id long, n long, digest binary, text string").withColumn("rid", F.monotonically_increasing_id()), "ngram-rows")
+        reps = spill(rows.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("node"), F.min("id").alias("first"), F.count("*").alias("c")), "ngram-nodes")
+        texts = by_ids(rows.select(F.col("rid").alias("node"), "text"), reps.select("node"), "node", "left_semi")
+    else:
+        rows, texts = sets, None
+        reps = spill(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.min("id").alias("first"), F.count("*").alias("c")), "ngram-nodes")
+    named = join_counted(rows.where("digest is not null").select("id", "n", "digest"), reps.select("digest", "node", "c"), "digest").select("id", "n", "node")
+    named = spill(named.unionByName(rows.where("digest is null").select("id", "n", F.lit(None).cast("long").alias("node"))), "ngram-named")
+    if texts is None:
+        texts = by_ids(own, named.where("node is null or id <> node").select("id"), "node", "left_anti")
+    return named, reps.select("node", "first", "c"), texts
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least id that links reach, its own included).
 
     Two rows link if 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles. A text without
     words (null, empty) has no shingles and links with nothing; a text of fewer than k words is one shingle. Rows
-    that repeat an id share its set's component. A row with a null id keeps a null component_id unless its set
-    occurs with an id too, which then names it. Columns other than the two named are not read.
+    that repeat an id are rows of their own, each linked by its own set: a node is a set, not an id. A row with a
+    null id keeps a null component_id unless links reach an id, which then names it. Columns other than the two
+    named are not read.
 
-    1. One pass makes each row's set digest and a frequency sketch. Equal sets become one node, named by the
-       least id: groups of copies are never compared.
+    1. One pass makes each row's set digest and a frequency sketch, which has a counter for every four shingles.
+       Equal sets become one node: groups of copies are never compared.
     2. A second pass yields the nodes' prefix shingles in the sketch's order (see ``prefix``). Prefix
        shingles that only one node has are left out.
-    3. Shingles that the same nodes have are one group. In every group, all nodes are compared with two pivots only,
-       then with two others: links found so join most of a group of near copies. Only nodes of a group that are
-       still in different components are paired with each other, if their places in the global order allow for
-       the similarity and they share as many prefix shingles as the lesser l asks for. Nodes in one component need
-       no more links, so none that matters is lost.
+    3. Shingles that the same nodes have are one group. In every group, all nodes are candidates of two pivots only,
+       then of two others: links found so join most of a group of near copies. Only nodes of a group that are
+       still in different components are paired with each other. Nodes in one component need no more links, so none
+       that matters is lost.
+    4. A candidate is verified if its places in the global order allow for the similarity and the two share as many
+       prefix shingles as the lesser l asks for.
     Similarity is taken on 64-bit shingle hashes of both whole texts.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    made = spill(own.mapInArrow(_sets(k), "id long, n long, digest binary, sketch binary"), "ngram-sets")
-    sent = spark.sparkContext.broadcast(_levels(made.where("sketch is not null").select("sketch")))
-    sets = made.where("n is not null").select("id", "n", "digest")
-    full = sets.where("digest is not null")
-    rep = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    named = spill(full.join(rep, "digest").select("id", "n", "rep").unionByName(sets.where("digest is null").select("id", "n", F.col("id").alias("rep"))), "ngram-named")
-    copies = named.where("id is null or id <> rep").select(F.col("id").alias("node")).where("node is not null").distinct()
-    nodes = by_ids(own.where("node is not null").dropDuplicates(["node"]) if _repeats(sets) else own.where("node is not null"), copies, "node", "left_anti")
-    crowd = 1000.0 + 16.0 * float((2.0 ** (sent.value.astype("float64") / 2)).mean())
-    index = nodes.mapInArrow(_prefix_rows(sent, k, percent, crowd), "token long, node long, n int, l int, pos int, hot boolean")
-    shared = spill(_shared(spill(index, "ngram-index")), "ngram-shared")
-    texts = spill(by_ids(nodes, shared.select("node").distinct(), "node", "left_semi"), "ngram-texts")
+    made = spill(own.mapInArrow(_sets(k), "id long, n long, digest binary, slab int, sketch binary"), "ngram-sets")
+    sets = made.where("slab is null").select("id", "n", "digest")
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    sent = spark.sparkContext.broadcast(_levels(made.where("slab is not null").select("slab", "sketch"), shingles))
+    crowd = 1000.0 + 2.0 * shingles / len(sent.value)
+    named, reps, nodes = _nodes(own, sets, k)
+    index = spill(nodes.mapInArrow(_prefix_rows(sent, k, percent, crowd), "token long, node long, n int, l int, pos int, ways int"), "ngram-index")
+    shared = spill(_shared(index), "ngram-shared")
+    discard(index, made)
+    sent.destroy()
 
     # Of a pair's first common prefix token, all tokens before it are in one of the two only: no more can be shared
     # than what is left from there on. A similar pair passes this in the group of that token, so it may be asked in all.
     most = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos"))
     fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
-    links, labels, tried, groups = None, None, None, shared.withColumn("c", F.col("node"))
-    for turn in range(TURNS):
-        # Pivots: first the node with the fewest rare tokens of its own, as the text has of which others are edited copies.
-        one = [F.col("pos").cast("long"), F.xxhash64(F.col("c"), F.lit(turn))][turn > 0]
-        two = [F.col("node"), F.xxhash64(F.col("node"), F.lit(turn))][turn > 0]
-        pick = [F.min(F.struct(o.alias("o"), "node", "n", "pos", "c")) for o in (one, two)]
-        pivots = groups.groupBy("sig").agg(F.array_distinct(F.array(*[p.dropFields("o") for p in pick])).alias("ps")).select("sig", F.explode("ps").alias("p"))
-        pivots = pivots.select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.c").alias("pc"))
-        pairs = groups.join(pivots, "sig").where((F.col("c") != F.col("pc")) & fits)
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        fresh = spill(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        found = spill(verified(fresh, texts, k, percent), "ngram-links")
+    links, tried, labels, groups, held = None, None, None, shared.withColumn("c", F.col("node")), []
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            pairs = groups.withColumn("salt", _salt(F.col("ways"))).join(_pivots(groups, turn), ["sig", "salt"])
+            pairs = pairs.where((F.col("c") != F.col("pc")) & fits)
+        else:
+            # Lengths of similar sets are in the same or the next class: members of other classes don't meet.
+            step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+            sized = groups.withColumn("size", step)
+            other = sized.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("pos").alias("ppos"), F.explode(F.array("size", F.col("size") + 1, F.col("size") - 1)).alias("size"))
+            pairs = sized.join(other, ["sig", "size"]).where((F.col("node") < F.col("pivot")) & (F.col("c") != F.col("pc")) & fits)
+        # The pivot of the larger group comes first: its text is read once for each part of its candidates.
+        sides = pairs.groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).agg(
+            F.max(F.when(F.col("pivot") < F.col("node"), F.col("ways")).otherwise(0)).alias("xw"), F.max(F.when(F.col("pivot") > F.col("node"), F.col("ways")).otherwise(0)).alias("yw")
+        )
+        sides = sides if tried is None else sides.join(tried, ["x", "y"], "left_anti")
+        sides = spill(sides, "ngram-pairs")
+        first = F.col("xw") >= F.col("yw")
+        fresh = spill(enough(sides.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.greatest("xw", "yw").alias("ways")), shared), "ngram-fresh")
+        found = spill(verified(fresh, nodes, k, percent), "ngram-links")
+        tried = sides.select("x", "y") if tried is None else tried.unionByName(sides.select("x", "y"))
         links = found if links is None else links.unionByName(found)
+        held += [sides, found]
+        discard(fresh, labels)
         labels = components(links)
-        grouped = _labelled(shared, labels)
-        groups = spill(grouped.join(grouped.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), "sig"), "ngram-open")
-    other = groups.select("sig", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("pos").alias("ppos"))
-    cross = groups.withColumnRenamed("node", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("pc")) & fits)
-    cross = spill(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-cross")
-    cross = (
-        cross.join(groups.select(F.col("node").alias("a"), "sig", "l", "w"), "a").join(groups.select(F.col("node").alias("b"), "sig", F.col("l").alias("pl")), ["b", "sig"])
-        .groupBy("a", "b").agg(F.sum("w").alias("m"), F.first("l").alias("l"), F.first("pl").alias("pl"))
-        .where(F.col("m") >= F.least("l", "pl")).select("a", "b")
-    )
-    links = links.unionByName(spill(verified(spill(cross, "ngram-pairs"), texts, k, percent), "ngram-links"))
-    final = components(links)
-    joined = named.join(final, named["rep"] == final["node"], "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def _repeats(sets: DataFrame) -> bool:
-    return sets.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+        if turn < TURNS:
+            groups = spill(_open(_labelled(shared, labels)), "ngram-open")
+            held.append(groups)
+    reps = spill(_labelled(reps.withColumnRenamed("c", "rows"), labels), "ngram-named")
+    least = reps.groupBy("c").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
+    reps = join_counted(reps, least, "c", "nodes").select("node", "component_id", "rows")
+    discard(shared, labels, *held)
+    joined = join_counted(named.where("node is not null"), reps, "node", "rows").select("id", "n", "component_id")
+    joined = joined.unionByName(named.where("node is null").select("id", "n", F.col("id").alias("component_id")))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -324,9 +441,10 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group of near copies: the one whose id names the component. Rows without an id stay,
-    as do the columns. Documents without words have no copies and stay too."""
-    found = join_components(docs, id_col, text_col, k, percent)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    as do the columns. Documents without words have no copies and stay too. Rows that repeat an id are one document, which
+    goes if all of them are copies of others."""
+    found = join_components(docs, id_col, text_col, k, percent).where(F.col(id_col).isNotNull())
+    gone = found.groupBy(F.col(id_col).alias("_gone")).agg(F.max("component_id").alias("_c")).where("_gone <> _c").select("_gone")
     return by_ids(docs, spill(gone, "ngram-gone"), id_col, "left_anti")
 
 

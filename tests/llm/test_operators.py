@@ -129,7 +129,7 @@ def test_ngram_join(docs, k, percent):
 def test_ngram_join_of_nothing_and_prefixes(docs):
     assert ngram_join.join_components(empty(docs)).count() == 0
     r = np.random.default_rng(4)
-    level = r.integers(0, 20, ngram_join.CELLS).astype(np.uint8)
+    level = r.integers(0, 20, ngram_join.LEAST_CELLS).astype(np.uint8)
     for _ in range(300):
         a = np.unique(r.integers(0, 1 << 62, 60).astype(np.uint64))
         b = np.unique(np.concatenate([a[r.random(len(a)) > 0.07], r.integers(0, 1 << 62, r.integers(0, 6)).astype(np.uint64)]))
@@ -138,6 +138,35 @@ def test_ngram_join_of_nothing_and_prefixes(docs):
             assert len(np.intersect1d(p, q)) >= min(m, n)
 
 
+def test_ngram_join_of_repeated_ids_and_hot_tokens(spark, monkeypatch):
+    r = random.Random(8)
+    a, b = words(r, 60), words(r, 60)
+    near = lambda t, w: " ".join(t.split()[:-1] + [w])
+    rows = [(1, a), (1, b), (2, near(b, "other")), (3, near(a, "other")), (None, near(b, "more")), (7, near(near(b, "more") + " tail", "else"))]
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id or 0, x.component_id) for x in got.collect()) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 1)]
+    # Every set has the boilerplate's shingles, and groups are dealt out in parts.
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    shared = words(r, 40)
+    bodies = [words(r, 30) for _ in range(12)]
+    rows = [(i, f"{shared} {bodies[i % 12]} {'' if i < 36 else words(r, 2)}") for i in range(60)] + [(100 + i, f"{words(r, 2)} {shared}") for i in range(30)]
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, 4, 85)
+
+
+def test_ngram_sketch():
+    r = np.random.default_rng(3)
+    cells = np.unique(r.integers(0, 1 << 20, 3000)).astype(np.uint32)
+    n = r.integers(1, 200_000, len(cells))
+    for i, j in ((0, len(cells)), (5, 9), (2, 2)):
+        at, counts = ngram_join._unpacked(ngram_join._packed(cells[i:j], n[i:j]))
+        assert (at == cells[i:j]).all() and (counts == n[i:j]).all()
+    h = r.integers(0, 1 << 63, 500).astype(np.uint64)
+    big, small = (ngram_join.cell_of(h, c) for c in (ngram_join.MOST_CELLS, ngram_join.LEAST_CELLS))
+    wide, slim = (c // ngram_join.SLABS for c in (ngram_join.MOST_CELLS, ngram_join.LEAST_CELLS))
+    assert (big // wide == small // slim).all() and (big % wide % slim == small % slim).all()
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs.where("doc_id is not null"))
     want = brute_components(dict(pairs(docs.where("doc_id is not null"))).items(), 4, 85)
