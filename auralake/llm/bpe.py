@@ -15,17 +15,19 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import kept, table, take_over, text_bytes
 
 #: Unicode's White_Space, as the public library's \\s; fixed values.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 200_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file's tokens and ranks."""
@@ -88,7 +90,7 @@ class PrefixBPE:
         """Whether no merge crosses the border of u and t: none of the parts that meet there is a pair of a lower rank than what merges either of them away."""
         key = u << 32 | t
         if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             ok, get = self._stands(u) and self._stands(t), self.ranks.get
             if ok:
@@ -192,7 +194,7 @@ class TextEncoder:
     into words, each with its space, that split independently of one another.
     """
 
-    def __init__(self, bpe: PrefixBPE, source: str, held: int = 300_000):
+    def __init__(self, bpe: PrefixBPE, source: str, held: int = 50_000):
         self.bpe, self.split, self.held = bpe, pattern(source).findall, held
         self.pieces: dict[str, list[int]] = {}
         self.words: dict[str, object] = {}
@@ -279,22 +281,15 @@ def chunks(column, size: int = 2_000_000) -> Iterator[list[str]]:
         yield texts
 
 
-@lru_cache(2)
+@kept("bpe")
 def coder(kind: type, vocabulary: str) -> TextEncoder:
-    """One coder for each Python worker: its caches last from task to task."""
+    """One coder for each Python worker: its caches last from task to task, until another operator's task runs there."""
     import gc
 
     import public_tokenizers
 
-    made = kind(load(_vocabulary(vocabulary) if "/" not in vocabulary else vocabulary), public_tokenizers.PATTERN)
-    gc.freeze()
     gc.set_threshold(200_000, 50, 1000)
-    return made
-
-
-@lru_cache(2)
-def load(path: str) -> PrefixBPE:
-    return PrefixBPE.from_file(path)
+    return kind(PrefixBPE.from_file(_vocabulary(vocabulary) if "/" not in vocabulary else vocabulary), public_tokenizers.PATTERN)
 
 
 def encode(text: str, bpe: PrefixBPE, source: str) -> list[int]:
@@ -318,6 +313,7 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("bpe")
         enc = coder(TextEncoder, vocabulary)
         for batch in batches:
             ids = [[i for p in packs for i in p] for texts in chunks(batch.column(1)) for packs in enc.packs(texts)]
@@ -335,6 +331,7 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("bpe")
         enc = coder(_DigestEncoder, vocabulary)
         for batch in batches:
             counts, ids_sha, out_sha = [], [], []
@@ -357,6 +354,7 @@ def encode_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("bpe")
         enc = coder(_PackedEncoder, vocabulary)
         for batch in batches:
             packed = [b"".join(packs) for texts in chunks(batch.column(1)) for packs in enc.packs(texts)]

@@ -20,7 +20,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spill, table, text_bytes
+from .common import spill, table, take_over, text_bytes
 
 K1, B = 1.2, 0.75
 #: Blocks of the index, each with neighbours by length.
@@ -230,6 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches, sent=sent) -> Iterator:
             import pyarrow as pa
 
+            take_over("decontam")
             index = sent.value
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for m in index.matches(t.decode(), least, overlap)]
@@ -254,6 +255,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches, sent=sent) -> Iterator:
             import pyarrow as pa
 
+            take_over("decontam")
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.matches(t.decode(), least, overlap) for t in text_bytes(batch.column(place))], pa.bool_()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_ids, parts, spill, table, text_bytes
+from .common import by_ids, parts, spill, table, take_over, text_bytes
 
 #: Bytes of distinct contents that one table may hold.
 TABLE_BYTES = 48 << 20
@@ -78,6 +78,7 @@ def _local_groups(limit: int):
         from pyspark import TaskContext
 
         schema = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("rep", pa.string()), ("n", pa.int64()), ("top", pa.int64()), ("content", pa.binary())])
+        take_over("exact_dedup")
         task = TaskContext.get().partitionId()
         made = 0
 
@@ -122,6 +123,7 @@ def _merge_bucket(batches) -> Iterator:
     import pyarrow as pa
 
     schema = pa.schema([("rep", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+    take_over("exact_dedup")
     found, reps, sizes, tops = ContentTable(), [], [], []
     for batch in batches:
         for sha, rep, n, top, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, packed, parts, spill, summed, table, text_bytes
+from .common import id_fold, kept, packed, parts, spill, summed, table, take_over, text_bytes
 
 #: Words with so many ranks are looked up in memory by every task; the counts of all others are joined.
 SENT_WORDS = 100_000
@@ -56,7 +55,7 @@ class _Words(dict):
         self.ids = []
 
 
-@lru_cache(1)
+@kept("lm-words")
 def _words(name: str) -> _Words:
     return _Words(name)
 
@@ -74,6 +73,7 @@ def _prepare(name: str):
             got = {"kind": pa.array(np.full(count, kind, np.int32))} | {k: x if isinstance(x, pa.Array) else pa.array(x, fields[k]) for k, x in columns.items()}
             return pa.RecordBatch.from_arrays([got[k] if k in got else pa.nulls(count, t) for k, t in fields.items()], names=list(fields))
 
+        take_over("lm-words")
         words = _words(name)
         words.reset()
         id_counts, seen = np.zeros(words.size + 1, np.int64), np.zeros(1 << 19, np.int64)
@@ -126,7 +126,7 @@ def _count_pairs(sent, name_size: int):
 
         from . import attention as A
 
-        _words.cache_clear()  # what an earlier stage left in this worker
+        take_over("lm")
         vocab = sent.value
         width = name_size + 1
         pairs, held, size = np.zeros(vocab.classes * width, np.int32), [], 0
@@ -161,7 +161,7 @@ def _train_round(sent, weights: bytes, turn: int):
 
         from . import attention as A
 
-        _words.cache_clear()  # what an earlier stage left in this worker
+        take_over("lm")
         p, state, held, size, done = A.unpack(np.frombuffer(weights, np.float32)), {}, [], 0, 0
 
         def learn():
@@ -213,7 +213,7 @@ def _score(sent, weights: bytes, hot, floor: float):
                     self[word] = v
                 return v
 
-        _words.cache_clear()  # what an earlier stage left in this worker
+        take_over("lm")
         known = dict(zip(hot.value[0].tolist(), hot.value[1].tolist(), strict=True))
         scorer, values = A.Scorer(A.unpack(np.frombuffer(weights, np.float32)), sent.value), Values()
         names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, spill, table, text_bytes
+from .common import id_fold, kept, spill, table, take_over, text_bytes
 
 #: Of each label, the sample takes so many rows at most (by a hash of the id) and stops after so many bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 12 << 20
@@ -30,7 +29,7 @@ class Model:
     offset: float
 
 
-@lru_cache(4)
+@kept("quality")
 def _compressors(bad: bytes, good: bytes):
     import zstandard as z
 
@@ -126,6 +125,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("quality")
         for batch in batches:
             found = [probability(t, model) for t in text_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
@@ -144,6 +144,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", accept: flo
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        take_over("quality")
         for batch in batches:
             yield batch.filter(pa.array([probability(t, model) >= accept for t in text_bytes(batch.column(place))], pa.bool_()))
 
