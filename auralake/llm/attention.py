@@ -2,7 +2,8 @@
 
 The ids of a text, behind a start mark and before an end mark, fall into blocks. A window is a block and the one
 before it: the block's ids are scored, each exactly once, from the ids before them in the window, by one masked
-attention over a batch of windows. The output is a softmax over classes of ids (frequent ids have a class of their
+attention over a batch of windows. Learning takes windows that don't overlap, in which every id is foretold from
+those before it. The output is a softmax over classes of ids (frequent ids have a class of their
 own) times the id's share of its class in the training corpus, given the class of the id before it.
 """
 
@@ -12,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK, WIDTH, HIDDEN = 16, 24, 32
+BLOCK, WIDTH, HIDDEN = 16, 16, 32
 #: Classes: single ids, the end mark, and groups of the other ids. Input ids beyond the most frequent share rows.
 SINGLES, GROUPS, INPUTS = 95, 32, 4096
 FREE = 64
 NAMES = ("E", "P", "Q", "K", "V", "O", "W1", "b1", "W2", "U", "b")
-_MASK = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
+_MASK = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(2 * BLOCK)[:, None], 0, -1e9).astype(np.float32)
 
 
 @dataclass
@@ -52,8 +53,9 @@ class Vocabulary:
         return SINGLES + 1 + GROUPS
 
 
-def vocabulary(counts: np.ndarray, sample: np.ndarray) -> Vocabulary:
-    """counts: of all ids in the training corpus, the end mark last. sample: rows of ids, from which ids of like neighbours are grouped."""
+def vocabulary(counts: np.ndarray, near: np.ndarray | None = None) -> Vocabulary:
+    """counts: of all ids in the training corpus, the end mark last. near[c, t]: how often id t follows an id of class c there, by
+    a vocabulary without groups; ids that follow alike are grouped."""
     n = len(counts) - 1
     rank = np.argsort(-counts[:n], kind="stable")
     row = np.empty(n + 2, np.int32)
@@ -64,45 +66,31 @@ def vocabulary(counts: np.ndarray, sample: np.ndarray) -> Vocabulary:
     cls = np.empty(n + 2, np.int32)
     cls[rank[:SINGLES]] = np.arange(SINGLES)
     cls[n], cls[n + 1] = SINGLES, SINGLES
-    cls[rank[SINGLES:]] = SINGLES + 1 + _groups(rank[SINGLES:], rank[:SINGLES], sample, n)
+    cls[rank[SINGLES:]] = SINGLES + 1 + (0 if near is None else _groups(rank[SINGLES:], counts, near[: SINGLES + 2]))
     smooth = counts + np.append(np.full(n, 0.01), 1.0)
     total = np.bincount(cls[: n + 1], smooth, SINGLES + 1 + GROUPS)
     share = np.append(np.log10(smooth / total[cls[: n + 1]]), 0.0).astype(np.float32)
     return Vocabulary(row, cls, share)
 
 
-def _groups(rest: np.ndarray, singles: np.ndarray, sample: np.ndarray, n: int) -> np.ndarray:
-    """Groups ids by the frequent ids around them (k-means on the unit sphere); ids that the sample lacks are dealt out evenly."""
-    column = np.full(n + 2, -1)
-    column[singles] = np.arange(len(singles))
+def _groups(rest: np.ndarray, counts: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Groups ids by the classes that they follow (k-means on the unit sphere); ids that never occur are dealt out evenly."""
     group = np.arange(len(rest)) % GROUPS
-    place = np.full(n + 2, -1)
-    known = np.unique(sample[(sample < n)])
-    known = known[column[known] < 0]
-    if len(known) < GROUPS or not len(singles):
+    seen = np.flatnonzero(counts[rest] > 0)
+    if len(seen) < GROUPS:
         return group
-    place[known] = np.arange(len(known))
-    around = np.zeros((len(known), 3 * len(singles)), np.float32)
-    for shift, off in ((-1, 0), (1, 1)):
-        a, b = (sample[:, 1:], sample[:, :-1]) if shift < 0 else (sample[:, :-1], sample[:, 1:])
-        hit = (place[a] >= 0) & (column[b] >= 0)
-        np.add.at(around, (place[a][hit], off * len(singles) + column[b][hit]), 1)
-    bags = np.stack([np.bincount(column[r][column[r] >= 0], minlength=len(singles)) for r in sample]) if len(sample) else np.zeros((0, len(singles)))
-    at = np.nonzero(place[sample] >= 0)
-    np.add.at(around[:, 2 * len(singles) :], place[sample][at], bags[at[0]].astype(np.float32))
-    around = np.sqrt(around)
+    around = np.sqrt(near[:, rest[seen]].T.astype(np.float32))
     around /= np.linalg.norm(around, axis=1, keepdims=True) + 1e-9
-    freq = np.bincount(place[sample][at], minlength=len(known))
-    centres = around[np.argsort(-freq, kind="stable")[:GROUPS]].copy()
+    weight = counts[rest[seen]].astype(np.float32)
+    centres = around[:GROUPS].copy()  # in order of frequency
     for _ in range(12):
         own = np.argmax(around @ centres.T, axis=1)
         for g in range(GROUPS):
             if (own == g).any():
-                c = around[own == g].sum(0)
+                c = weight[own == g] @ around[own == g]
                 centres[g] = c / (np.linalg.norm(c) + 1e-9)
-    of = np.full(n + 2, -1)
-    of[known] = own
-    return np.where(of[rest] >= 0, of[rest], group)
+    group[seen] = own
+    return group
 
 
 def fresh(seed: int = 1) -> dict[str, np.ndarray]:
@@ -123,21 +111,25 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(texts: list[np.ndarray], vocab: Vocabulary):
-    """(inputs, targets, lengths): windows of 2 * BLOCK inputs, the BLOCK ids that follow the last ones (-1: none), windows by text."""
-    ins, outs, sizes = [], [], []
-    for ids in texts:
-        n = len(ids) + 1
-        m = -(-n // BLOCK)
-        x = np.full((m + 1) * BLOCK, vocab.start, np.int32)
-        x[BLOCK + 1 : BLOCK + n] = ids
-        y = np.full(m * BLOCK, -1, np.int32)
-        y[: n - 1], y[n - 1] = ids, vocab.end
-        x = x.reshape(-1, BLOCK)
-        ins.append(np.concatenate([x[:-1], x[1:]], axis=1))
-        outs.append(y.reshape(-1, BLOCK))
-        sizes.append(m)
-    return np.concatenate(ins), np.concatenate(outs), np.array(sizes)
+def rows(flat: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, block: int):
+    """(inputs, targets, rows by text): the ids of texts of so many ids, in rows of ``block``; a target is the id after
+    its input, the end mark behind the last one, and -1 beyond."""
+    count = -(-(sizes + 1) // block)
+    first = (np.cumsum(count) - count) * block
+    x, y = np.full(int(count.sum()) * block, vocab.start, np.int32), np.full(int(count.sum()) * block, -1, np.int32)
+    at = np.arange(len(flat)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    x[at + 1], y[at] = flat, flat
+    y[first + sizes] = vocab.end
+    return x.reshape(-1, block), y.reshape(-1, block), count
+
+
+def windows(flat: np.ndarray, sizes: np.ndarray, vocab: Vocabulary):
+    """(inputs, targets, windows by text): windows of 2 * BLOCK inputs, and the BLOCK ids that follow the last ones (-1: none)."""
+    x, y, count = rows(flat, sizes, vocab, BLOCK)
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
+    before[np.cumsum(count) - count] = vocab.start
+    return np.concatenate([before, x], axis=1), y, count
 
 
 class Scorer:
@@ -151,7 +143,7 @@ class Scorer:
         self.pe, self.pq = p["P"][BLOCK:], p["P"][BLOCK:] @ p["Q"] * scale
         self.pkv = np.concatenate([p["P"] @ p["K"], p["P"] @ p["V"] @ p["O"]], axis=1)
         self.ut = np.ascontiguousarray(p["U"].T)
-        self.open = (_MASK == 0).astype(np.float32)
+        self.open = (_MASK[BLOCK:] == 0).astype(np.float32)
 
     def rows(self, ins: np.ndarray, outs: np.ndarray) -> np.ndarray:
         """Log10 probability of each window's targets together."""
@@ -180,36 +172,36 @@ class Scorer:
         t = np.maximum(flat, 0)
         own = z[np.arange(len(t)), v.cls[t]]
         np.exp(z, out=z)
-        got = (own - np.log(z.sum(1))) * np.float32(0.4342944819)
+        got = (own - np.log(z @ np.ones(z.shape[1], np.float32))) * np.float32(0.4342944819)
         got += v.share[t] if v.after is None else v.after[v.cls[ins[:, BLOCK:].ravel()], t]
         return np.where(flat >= 0, got, 0).reshape(outs.shape).sum(1, dtype=np.float64)
 
-    def score(self, texts: list[np.ndarray], batch: int = 256) -> list[float]:
-        """Of each text of ids, end mark included."""
-        if not texts:
-            return []
-        ins, outs, sizes = windows(texts, self.vocab)
-        rows = np.concatenate([self.rows(ins[i : i + batch], outs[i : i + batch]) for i in range(0, len(ins), batch)])
-        return np.add.reduceat(rows, np.cumsum(sizes) - sizes).tolist()
+    def score(self, flat: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Of each text of so many ids, end mark included."""
+        if not len(sizes):
+            return np.empty(0)
+        ins, outs, count = windows(flat, sizes, self.vocab)
+        got = np.concatenate([self.rows(ins[i : i + batch], outs[i : i + batch]) for i in range(0, len(ins), batch)])
+        return np.add.reduceat(got, np.cumsum(count) - count)
 
 
 def gradient(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss (natural logarithm, of the classes) and its gradient."""
+    """Mean loss (natural logarithm, of the classes) of windows in which every id is a target, and its gradient; that of the
+    embeddings is ("E": the rows of ids that occur, "dE": theirs)."""
     d, scale = WIDTH, np.float32(WIDTH**-0.5)
     r, flat = vocab.row[ins], outs.ravel()
-    x = p["E"][r] + p["P"]
-    own = x[:, BLOCK:]
-    flat_own, flat_x = own.reshape(-1, d), x.reshape(-1, d)
-    q = (flat_own @ (p["Q"] * scale)).reshape(own.shape)
-    k, v = (flat_x @ p["K"]).reshape(x.shape), (flat_x @ p["V"]).reshape(x.shape)
+    x = p["E"][r]
+    x += p["P"]
+    shape, x = x.shape, x.reshape(-1, d)
+    qkv = x @ np.concatenate([p["Q"] * scale, p["K"], p["V"]], axis=1)
+    q, k, v = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(shape) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
     a += _MASK
-    a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    a *= (1 / (a.reshape(-1, shape[1]) @ np.ones(shape[1], np.float32))).reshape(shape[0], shape[1], 1)
     o = (a @ v).reshape(-1, d)
     h = o @ p["O"]
-    h += flat_own
+    h += x
     pre = h @ p["W1"]
     pre += p["b1"]
     u = np.maximum(pre, 0)
@@ -217,47 +209,44 @@ def gradient(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs:
     z += h
     g = z @ p["U"].T
     g += p["b"]
-    g -= g.max(1, keepdims=True)
     np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
     t, n = vocab.cls[np.maximum(flat, 0)], np.arange(len(flat))
     real = (flat >= 0).astype(np.float32)
     total = np.float32(max(real.sum(), 1))
-    loss = float(-(np.log(g[n, t] + 1e-20) * real).sum() / total)
-    g[n, t] -= 1
-    g *= (real / total)[:, None]
+    sums = g @ np.ones(g.shape[1], np.float32)
+    loss = float(((np.log(sums) - np.log(g[n, t])) * real).sum() / total)
+    g *= (real / total / sums)[:, None]
+    g[n, t] -= real / total
     out = {"U": g.T @ z, "b": g.sum(0)}
     dz = g @ p["U"]
     du = dz @ p["W2"].T
     du *= pre > 0
     out["W2"], out["W1"], out["b1"] = u.T @ dz, h.T @ du, du.sum(0)
-    dh = dz + du @ p["W1"].T
-    out["O"] = o.T @ dh
-    do = (dh @ p["O"].T).reshape(own.shape)
+    dz += du @ p["W1"].T
+    out["O"] = o.T @ dz
+    do = (dz @ p["O"].T).reshape(shape)
     da = do @ v.transpose(0, 2, 1)
-    dv = (a.transpose(0, 2, 1) @ do).reshape(-1, d)
+    dqkv = np.empty((len(x), 3 * d), np.float32)
+    dqkv[:, 2 * d :] = (a.transpose(0, 2, 1) @ do).reshape(-1, d)
     da -= np.einsum("bij,bij->bi", da, a)[..., None]
     da *= a
-    dq, dk = (da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d)
-    dq *= scale
-    out["Q"], out["K"], out["V"] = flat_own.T @ dq, flat_x.T @ dk, flat_x.T @ dv
-    dx = dk @ p["K"].T
-    dx += dv @ p["V"].T
-    dh += dq @ p["Q"].T
-    dx = dx.reshape(x.shape)
-    dx[:, BLOCK:] += dh.reshape(own.shape)
-    out["P"] = dx.sum(0)
-    out["E"] = np.zeros_like(p["E"])
-    rows = r.ravel()
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out["E"][rows[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first)
+    dqkv[:, :d], dqkv[:, d : 2 * d] = (da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dqkv[:, :d] *= scale
+    mixed = x.T @ dqkv
+    out["Q"], out["K"], out["V"] = mixed[:, :d], mixed[:, d : 2 * d], mixed[:, 2 * d :]
+    dz += dqkv @ np.concatenate([p["Q"], p["K"], p["V"]], axis=1).T
+    out["P"] = dz.reshape(shape).sum(0)
+    seen = r.ravel()
+    order = np.argsort(seen.astype(np.uint16), kind="stable")
+    seen = seen[order]
+    first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+    out["E"], out["dE"] = seen[first], np.add.reduceat(dz[order], first)
     return loss, out
 
 
 def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np.ndarray, rate: float, seed: int, batch: int = 128, state: dict | None = None) -> float:
-    """One pass of Adam over the windows, in a shuffled order; changes p, and state, by which a later call goes on. Returns the mean loss."""
+    """One pass of Adam over the windows, in a shuffled order; changes p, and state, by which a later call goes on. Embeddings
+    of ids that a batch lacks stay as they are. Returns the mean loss."""
     order, losses = np.random.default_rng(seed).permutation(len(ins)), []
     state = {} if state is None else state
     m, s = (state.setdefault(x, {k: np.zeros_like(y) for k, y in p.items()}) for x in "ms")
@@ -267,9 +256,14 @@ def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np
         loss, grad = gradient(p, vocab, ins[at], outs[at])
         losses.append(loss)
         step += 1
-        for k, g in grad.items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.02 * (g * g - s[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-6)
+        seen, own = grad.pop("E"), grad.pop("dE")
+        fix, unfix = np.float32(1 / (1 - 0.9**step)), np.float32(1 / (1 - 0.98**step))
+        for k, g in [*grad.items(), ("E", own)]:
+            where = seen if k == "E" else slice(None)
+            mk, sk = m[k][where], s[k][where]
+            mk += np.float32(0.1) * (g - mk)
+            sk += np.float32(0.02) * (g * g - sk)
+            m[k][where], s[k][where] = mk, sk
+            p[k][where] -= np.float32(rate) * fix * mk / (np.sqrt(sk * unfix) + np.float32(1e-6))
     state["step"] = step
     return float(np.mean(losses)) if losses else 0.0

@@ -8,17 +8,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, kept, packed, parts, spill, summed, table, take_over, text_bytes
+from .common import discard, id_fold, kept, packed, parts, spill, summed, table, take_over, text_bytes
 
 #: Words with so many ranks are looked up in memory by every task; the counts of all others are joined.
 SENT_WORDS = 100_000
 #: A trainer has so many windows at least, and holds and shuffles so many at once.
-PER_TRAINER, HELD_WINDOWS = 60_000, 1 << 16
+PER_TRAINER, HELD_WINDOWS = 30_000, 1 << 15
 #: Learning rates of the rounds; between rounds the trainers' weights are averaged.
 RATES = (0.01, 0.006, 0.003, 0.001)
-#: Documents from whose ids the classes are grouped.
-GROUP_DOCS = 1500
-_DOC = "kind int, doc_id long, held_out boolean, n_tokens long, text string, ids binary, word long, n long, blob binary"
+#: A chunk takes texts until it has so many bytes.
+CHUNK_BYTES = 2 << 20
+_CHUNK = "kind int, docs binary, words binary, hashes binary, lengths binary, ids binary, word long, n long, blob binary"
 _SIGN = 1 << 63
 
 
@@ -30,7 +30,7 @@ def _word_hash(word: bytes) -> int:
 
 
 class _Words(dict):
-    """A number for each word since the last reset; by number, the word's subword ids (with a space before it) as 16-bit numbers."""
+    """A number for each word since the last reset; by number, the word's hash and its subword ids (with a space before it) as 16-bit numbers."""
 
     def __init__(self, name: str):
         import struct
@@ -42,17 +42,18 @@ class _Words(dict):
 
         ranks = read_ranks(public_tokenizers.path(name) if "/" not in name else name)
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.pack, self.size, self.ids = struct.pack, max(ranks.values()) + 1, []
+        self.pack, self.size, self.ids, self.hashes = struct.pack, max(ranks.values()) + 1, [], []
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.ids)
         got = self.encode(" " + word.decode())
         self.ids.append(self.pack(f"<{len(got)}H", *got))
+        self.hashes.append(_word_hash(word))
         return n
 
     def reset(self) -> None:
         self.clear()
-        self.ids = []
+        self.ids, self.hashes = [], []
 
 
 @kept("lm-words")
@@ -61,16 +62,16 @@ def _words(name: str) -> _Words:
 
 
 def _prepare(name: str):
-    """(doc_id, held_out, text) rows to the same with counts and ids (kind 0), word counts (1) and id counts (2) of training texts."""
+    """(doc_id, held_out, text) rows to chunks of texts as word numbers, with the chunk's words (kind 0), word counts (1) and id counts (2) of training texts."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        fields = {"kind": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "text": pa.string(), "ids": pa.binary(), "word": pa.int64(), "n": pa.int64(), "blob": pa.binary()}
+        fields = {"kind": pa.int32()} | dict.fromkeys(("docs", "words", "hashes", "lengths", "ids"), pa.binary()) | {"word": pa.int64(), "n": pa.int64(), "blob": pa.binary()}
 
         def rows(kind, count, **columns):
-            got = {"kind": pa.array(np.full(count, kind, np.int32))} | {k: x if isinstance(x, pa.Array) else pa.array(x, fields[k]) for k, x in columns.items()}
+            got = {"kind": pa.array(np.full(count, kind, np.int32))} | {k: pa.array(x, fields[k]) for k, x in columns.items()}
             return pa.RecordBatch.from_arrays([got[k] if k in got else pa.nulls(count, t) for k, t in fields.items()], names=list(fields))
 
         take_over("lm-words")
@@ -81,33 +82,44 @@ def _prepare(name: str):
         def counted():
             """The counts of the words so far, after which the words begin anew."""
             n = np.flatnonzero(seen[: len(words.ids)])
-            names = list(words)
-            got = rows(1, len(n), word=[_word_hash(names[i]) for i in n.tolist()], n=seen[n])
+            got = rows(1, len(n), word=np.array(words.hashes, np.int64)[n], n=seen[n])
+            ids = b"".join(words.ids)
+            lengths = np.fromiter(map(len, words.ids), np.int64, len(words.ids)) // 2
+            id_counts[:-1] += np.bincount(np.frombuffer(ids, np.uint16), np.repeat(seen[: len(lengths)], lengths), words.size).astype(np.int64)
             words.reset()
             seen[:] = 0
             return got
 
+        def chunk():
+            nonlocal seen
+            sizes = np.array([len(x) for x in texts], np.int64)
+            every, docs = np.array([n for x in texts for n in x], np.int64), np.array(meta, np.int64).reshape(-1, 3)
+            if len(words.ids) > len(seen):
+                seen = np.append(seen, np.zeros(len(words.ids), np.int64))
+            out = np.repeat(docs[:, 1] == 0, sizes)
+            found = np.bincount(every[out], minlength=1)
+            seen[: len(found)] += found
+            id_counts[-1] += int((docs[:, 1] == 0).sum())
+            own, numbers = np.unique(every, return_inverse=True)
+            ids = [words.ids[i] for i in own.tolist()]
+            return rows(
+                0, 1, docs=[np.concatenate([docs, sizes[:, None]], axis=1).tobytes()], words=[numbers.astype(np.uint32).tobytes()], hashes=[np.array([words.hashes[i] for i in own.tolist()], np.int64).tobytes()],
+                lengths=[np.array([len(x) // 2 for x in ids], np.uint32).tobytes()], ids=[b"".join(ids)],
+            )
+
+        texts, meta, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sizes, ids, training, held = [], [], [], part.column(1).to_pylist()
-                for text, out in zip(text_bytes(part.column(2)), held, strict=True):
-                    numbers = list(map(words.__getitem__, text.lower().split()))
-                    sizes.append(len(numbers) + 1)
-                    ids.append(b"".join(map(words.ids.__getitem__, numbers)))
-                    if not out:
-                        training.append(np.array(numbers, np.int64))
-                if len(words.ids) > len(seen):
-                    seen = np.append(seen, np.zeros(len(words.ids), np.int64))
-                if training:
-                    every = np.bincount(np.concatenate(training), minlength=1)
-                    seen[: len(every)] += every
-                yield rows(0, part.num_rows, doc_id=part.column(0), held_out=part.column(1), n_tokens=sizes, text=part.column(2).cast(pa.string()), ids=ids)
-                trained = b"".join(x for x, h in zip(ids, held, strict=True) if not h)
-                id_counts[:-1] += np.bincount(np.frombuffer(trained, np.uint16), minlength=words.size)
-                id_counts[-1] += len(training)
-                if len(words) > 250_000:
-                    yield counted()
+            for doc, out, text in zip(batch.column(0), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                texts.append(list(map(words.__getitem__, text.lower().split())))
+                meta.append((doc.as_py() or 0, int(out), int(doc.is_valid)))
+                size += len(text) + 50
+                if size > CHUNK_BYTES:
+                    yield chunk()
+                    texts, meta, size = [], [], 0
+                    if len(words) > 250_000:
+                        yield counted()
+        if texts:
+            yield chunk()
         if seen.any():
             yield counted()
         words.reset()
@@ -117,8 +129,39 @@ def _prepare(name: str):
     return run
 
 
-def _count_pairs(sent, name_size: int):
-    """Rows of ids of training texts to the counts of ids after classes."""
+class _Chunk:
+    """A chunk's texts: ``docs`` (id, held out, whether there is an id, number of words), words as numbers of its own words."""
+
+    def __init__(self, docs: bytes, words: bytes, hashes: bytes, lengths: bytes, ids: bytes):
+        import numpy as np
+
+        self.docs = np.frombuffer(docs, np.int64).reshape(-1, 4)
+        self.words, self.hashes = np.frombuffer(words, np.uint32), np.frombuffer(hashes, np.int64)
+        self.lengths, self.ids = np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(ids, np.uint16)
+
+    @classmethod
+    def of(cls, batch) -> Iterator[_Chunk]:
+        """Of the binary columns docs, words, hashes, lengths, ids."""
+        for i in range(batch.num_rows):
+            yield cls(*(batch.column(j)[i].as_py() for j in range(5)))
+
+    def tokens(self, take):
+        """The ids of the texts marked, one after the other, and their numbers by text."""
+        import numpy as np
+
+        sizes = self.docs[:, 3]
+        words = self.words[np.repeat(take, sizes)]
+        lengths = self.lengths[words]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(self.lengths) - self.lengths)[words] - ends[:-1], lengths)
+        return self.ids[at].astype(np.int32), np.diff(ends[np.concatenate([[0], np.cumsum(sizes[take])])])
+
+
+_SENT = ("docs", "words", "hashes", "lengths", "ids")
+
+
+def _count_pairs(sent, size: int):
+    """Chunks to the counts of ids after classes, in training texts."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -128,32 +171,22 @@ def _count_pairs(sent, name_size: int):
 
         take_over("lm")
         vocab = sent.value
-        width = name_size + 1
-        pairs, held, size = np.zeros(vocab.classes * width, np.int32), [], 0
-
-        def count():
-            nonlocal pairs
-            pairs += np.bincount(np.concatenate(held), minlength=len(pairs)).astype(np.int32)
-
+        pairs = np.zeros(vocab.classes * (size + 1), np.int32)  # a task's own; sums of tasks have 64 bits
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                ins, outs, _ = A.windows([np.frombuffer(x, np.uint16).astype(np.int32) for x in batch.column(0).slice(at, 200).to_pylist()], vocab)
-                real = outs.ravel() >= 0
-                held.append(vocab.cls[ins[:, A.BLOCK :].ravel()[real]].astype(np.int64) * width + outs.ravel()[real])
-                size += len(held[-1])
-                if size > 1_000_000:
-                    count()
-                    held, size = [], 0
-        if held:
-            count()
+            for chunk in _Chunk.of(batch):
+                flat, sizes = chunk.tokens(chunk.docs[:, 1] == 0)
+                x, y, _ = A.rows(flat, sizes, vocab, A.BLOCK)
+                x, y = x[y >= 0], y[y >= 0]
+                at, n = np.unique(vocab.cls[x].astype(np.int64) * (size + 1) + y, return_counts=True)
+                pairs[at] += n.astype(np.int32)
         if pairs.any():
-            yield pa.RecordBatch.from_arrays([pa.array([packed(pairs)], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed(pairs.astype(np.int64))], pa.binary())], names=["blob"])
 
     return run
 
 
 def _train_round(sent, weights: bytes, turn: int):
-    """(rid, ids) rows of a trainer's texts to its weights after the turn's windows, times their number, and the number. Each window has one turn, by a hash of its text and place."""
+    """Chunks to a trainer's weights after the texts of this turn, times the number of their windows, and the number. Each training text has one turn, by its place."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -166,21 +199,17 @@ def _train_round(sent, weights: bytes, turn: int):
 
         def learn():
             nonlocal held, size, done
-            rows = np.concatenate(held)
-            A.learn(p, sent.value, rows[:, : 2 * A.BLOCK], rows[:, 2 * A.BLOCK :], RATES[turn], seed=turn, state=state)
-            held, size, done = [], 0, done + len(rows)
+            ins, outs = (np.concatenate(x) for x in zip(*held, strict=True))
+            A.learn(p, sent.value, ins, outs, RATES[turn], seed=turn, state=state)
+            held, size, done = [], 0, done + len(ins)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ins, outs, sizes = A.windows([np.frombuffer(x, np.uint16).astype(np.int32) for x in part.column(1).to_pylist()], sent.value)
-                mix = np.repeat(part.column(0).to_numpy().astype(np.uint64), sizes) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(ins), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-                mix ^= mix >> np.uint64(31)
-                mix *= np.uint64(0xBF58476D1CE4E5B9)
-                mix ^= mix >> np.uint64(29)
-                take = (mix >> np.uint64(11)) % np.uint64(len(RATES)) == turn
-                held.append(np.concatenate([ins[take], outs[take]], axis=1))
-                size += len(held[-1])
+            for chunk in _Chunk.of(batch):
+                place = np.arange(len(chunk.docs)) + int(chunk.docs[0, 0])
+                flat, sizes = chunk.tokens((chunk.docs[:, 1] == 0) & (place % len(RATES) == turn))
+                if len(sizes):
+                    held.append(A.rows(flat, sizes, sent.value, 2 * A.BLOCK)[:2])
+                    size += len(held[-1][0])
                 if size >= HELD_WINDOWS:
                     learn()
         if size:
@@ -193,7 +222,7 @@ def _train_round(sent, weights: bytes, turn: int):
 
 
 def _score(sent, weights: bytes, hot, floor: float):
-    """(rid, doc_id, held_out, n_tokens, text, ids) rows to (rid, doc_id, held_out, n_tokens, n_known, base, score, rare)."""
+    """Chunks to (doc_id, held_out, n_tokens, n_known, base, score, rare, times) rows; rare: the hashes of words whose counts aren't in memory."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -201,39 +230,29 @@ def _score(sent, weights: bytes, hot, floor: float):
 
         from . import attention as A
 
-        class Values(dict):
-            """A word's base score if its count is in memory, else its hash."""
-
-            def __missing__(self, word):
-                h = _word_hash(word)
-                v = known.get(h, h)
-                if len(word) < 40:
-                    if len(self) > 150_000:
-                        self.clear()
-                    self[word] = v
-                return v
-
         take_over("lm")
-        known = dict(zip(hot.value[0].tolist(), hot.value[1].tolist(), strict=True))
-        scorer, values = A.Scorer(A.unpack(np.frombuffer(weights, np.float32)), sent.value), Values()
-        names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+        known, value = hot.value
+        scorer = A.Scorer(A.unpack(np.frombuffer(weights, np.float32)), sent.value)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                scores = scorer.score([np.frombuffer(x, np.uint16).astype(np.int32) for x in part.column(5).to_pylist()], 128)
-                n_known, base, rare = [], [], []
-                for text in text_bytes(part.column(4)):
-                    found = list(map(values.__getitem__, text.lower().split()))
-                    unseen = [x for x in found if type(x) is int]
-                    n_known.append(len(found) - len(unseen))
-                    base.append(math.fsum([x for x in found if type(x) is float]) + floor)
-                    rare.append(np.array(unseen, np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare), pa.int64()))
+            for chunk in _Chunk.of(batch):
+                sizes, n = chunk.docs[:, 3], len(chunk.docs)
+                scores = scorer.score(*chunk.tokens(np.full(n, True)), 128)
+                at = np.minimum(np.searchsorted(known, chunk.hashes), max(len(known) - 1, 0))
+                found = known[at] == chunk.hashes if len(known) else np.zeros(len(chunk.hashes), bool)
+                base = np.where(found, value[at], 0.0)[chunk.words] if len(known) else np.zeros(len(chunk.words))
+                told = found[chunk.words]
+                doc = np.repeat(np.arange(n), sizes)
+                counts = np.bincount(doc, told, n).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes - counts)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunk.hashes[chunk.words[~told]], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), part.column(3), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), lists],
+                    [
+                        pa.array(chunk.docs[:, 0], pa.int64(), mask=chunk.docs[:, 2] == 0), pa.array(chunk.docs[:, 1] == 1), pa.array(sizes + 1), pa.array(counts),
+                        pa.array(np.bincount(doc, base, n) + floor, pa.float64()), pa.array(scores, pa.float64()), rare,
+                    ],
                     names=names,
-                )
+                )
 
     return run
 
@@ -246,15 +265,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows count, and are scored, as often as they occur. Without training texts the counts are
     0, base_score is that of a word never seen and the network has its initial weights. Other columns are not read.
 
-    1. One pass cuts all texts, writes their subword ids and counts words and ids of the training texts.
-       Word counts are added up by task before they are shuffled.
-    2. A second pass over the training ids counts ids after classes of ids. Then trainers learn side by side, each
-       from texts of its own, and are averaged between rounds. Every training window is learned from once, in one
-       of the rounds, whatever the corpus size; a trainer reads its ids anew in each round and keeps few of them.
-    3. A third pass scores: the network batch by batch, the base by a table of the most frequent words. The other
+    1. One pass cuts all texts, writes them in chunks, as numbers of the chunk's words, and counts words and ids of the
+       training texts. Word counts are added up by task before they are shuffled.
+    2. Two passes over the training texts count ids after frequent ids, by which the classes are grouped, and ids after
+       classes. Then trainers learn side by side, each from texts of its own, and are averaged between rounds.
+       Every training text is learned from once, in one of the rounds, whatever the corpus size.
+    3. A last pass scores: the network batch by batch, the base by a table of the most frequent words. The other
        words' counts are joined to the texts by word and summed by text.
 
-    Words are told apart by 64-bit hashes. Classes are grouped on a sample of GROUP_DOCS texts.
+    Words are told apart by 64-bit hashes.
     """
     import numpy as np
 
@@ -263,8 +282,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     sc = spark.sparkContext
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_fold(F.col(id_col), folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = spill(own.mapInArrow(_prepare(vocabulary), _DOC).withColumn("rid", F.monotonically_increasing_id()), "lm-texts", ("kind",), "zstd")
-    texts = made.where("kind = 0")
+    made = spill(own.mapInArrow(_prepare(vocabulary), _CHUNK), "lm-texts", ("kind",), "zstd")
+    chunks = made.where("kind = 0").select(*_SENT)
     words = spill(made.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     size = _vocabulary_size(vocabulary)
     counts = summed(made.where("kind = 2").select("blob"), "int64")
@@ -272,32 +291,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = int(counts[-1])
     stat = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = stat.n + ends, stat.v + (ends > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(SENT_WORDS).collect()
+    top = words.orderBy(F.desc("n"), "word").limit(SENT_WORDS).toPandas().sort_values("word")
     log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    hot = sc.broadcast((np.array([r.word for r in top], np.int64), np.array([log(r.n) for r in top])))
-
-    some = texts.where("not held_out").orderBy(F.xxhash64("rid"), "rid").limit(GROUP_DOCS).select("ids").collect()
-    vocab = A.vocabulary(counts.astype(np.float64), np.zeros((0, 2 * A.BLOCK), np.int32))
-    if some:
-        sample, _, _ = A.windows([np.frombuffer(r.ids, np.uint16).astype(np.int32) for r in some], vocab)
-        vocab = A.vocabulary(counts.astype(np.float64), sample[np.random.default_rng(0).permutation(len(sample))[:10_000]])
-    trainers = max(1, int(counts.sum()) // A.BLOCK // PER_TRAINER)  # at most one for each piece of the texts' files
+    hot = sc.broadcast((top.word.to_numpy(np.int64), np.log10(top.n.to_numpy(float) + 0.1) - math.log10(n + 0.1 * (v + 1))))
+
+    vocab, pairs, grouped = A.vocabulary(counts.astype(np.float64)), None, False
+    for _ in range(2):
+        sent = sc.broadcast(vocab)
+        pairs = summed(chunks.mapInArrow(_count_pairs(sent, size), "blob binary"), "int64")
+        sent.destroy()
+        pairs = None if pairs is None else pairs.reshape(vocab.classes, size + 1)
+        if not grouped and pairs is not None:
+            vocab, grouped = A.vocabulary(counts.astype(np.float64), pairs[:, :-1]), True
     sent = sc.broadcast(vocab)
-    pairs = summed(texts.where("not held_out").select("ids").mapInArrow(_count_pairs(sent, size), "blob binary"), "int32")
+    trainers = max(1, int(counts.sum()) // (2 * A.BLOCK) // PER_TRAINER)  # at most one for each piece of the texts' files
     weights = A.pack(A.fresh()).astype(np.float32)
-    learned = texts.where("not held_out").select("rid", "ids").coalesce(trainers)
+    learned = chunks.coalesce(trainers)
     for turn in range(len(RATES) if pairs is not None else 0):
         mean = summed(learned.mapInArrow(_train_round(sent, weights.tobytes(), turn), "x binary"), "float64")
         if mean is not None:
             weights = (mean[:-1] / mean[-1]).astype(np.float32)
+    sent.destroy()
     if pairs is not None:
-        vocab.condition(pairs.reshape(vocab.classes, size + 1))
+        vocab.condition(pairs)
     sent = sc.broadcast(vocab)
 
-    scored = texts.select("rid", "doc_id", "held_out", "n_tokens", "text", "ids").mapInArrow(
-        _score(sent, weights.tobytes(), hot, log(ends)), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    )
+    scored = chunks.mapInArrow(
+        _score(sent, weights.tobytes(), hot, log(ends)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    ).withColumn("rid", F.monotonically_increasing_id())
     scored = spill(scored, "lm-scores")
+    discard(made)
+    sent.destroy()
+    hot.destroy()
     rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(words, "word", "left").groupBy("rid").agg(
