@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File name endings of media, token marks, and language names in their order of preference.
+#: File name endings of media, token marks, the pattern of pre-tokens, and the formats' endings.
 MEDIA = ("wav", "mp3", "flac", "m4a", "aac", "ogg", "oga", "opus", "wma", "mka", "mp4", "mkv", "mov", "webm", "avi", "m4v", "mpg", "mpeg", "ts")
 SPECIAL = ("<unk>", "<pad>", "<blk>", "<blank>", "<s>", "</s>")
 PRETOKENS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,9 +80,8 @@ def slug(label: Column) -> Column:
 
 
 def vendor(brand: Column) -> Column:
-    """The maker that a processor's name tells, the first of these that fits."""
-    b = F.lower(brand)
-    has = lambda *names: F.greatest(*[b.contains(n) for n in (*names, names[0])])
+    """The maker that a processor's name tells, the first of these that fits. Fixed values."""
+    has = lambda *names: reduce(or_, [F.lower(brand).contains(n) for n in names])
     return (
         F.when(has("qualcomm", "snapdragon", "oryon"), "Qualcomm").when(has("intel"), "Intel")
         .when(has("amd", "ryzen"), "Amd").when(has("apple"), "Apple").otherwise("Unknown")

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPECIAL
+
 SEGMENTS = "array<struct<start:double,end:double,text:string,words:array<struct<text:string,start:double,end:double,confidence:double>>>>"
 #: Ids of a frame at most, and seconds of one encoder frame.
 SYMBOLS_PER_FRAME, FRAME_S = 10, 0.08
@@ -107,15 +109,16 @@ def ctc(logits: np.ndarray, blank: int) -> tuple[list[int], list[int]]:
 def duration_decode(step: Callable, frames: int, blank: int, durations: tuple[int, ...]) -> tuple[list[int], list[int]]:
     """Greedy decoding of a token-and-duration model: ``step(frame, state) -> (token logits, duration logits, new state)``.
 
-    The state changes with tokens other than the blank. A blank moves on by one frame at least, and so does a
+    The state changes with tokens other than the blank. Logits without a finite maximum are an error. A blank moves on by one frame at least, and so does a
     frame that has had ten tokens.
     """
     ids, places, at, here, state = [], [], 0, 0, None
     while at < frames:
         tokens, spans, new = step(at, state)
-        token = first_max(tokens)
-        token = blank if token is None else token
-        jump = durations[first_max(spans) or 0]
+        token, span = first_max(tokens), first_max(spans)
+        if token is None or span is None:
+            raise ValueError(f"frame {at}: no finite logit")
+        jump = durations[span]
         if token != blank:
             ids.append(token)
             places.append(at)
@@ -147,7 +150,7 @@ def words_of(ids: list[int], places: list[int], vocabulary: dict[int, str], dura
     out: list[list] = []
     for i, f in zip(ids, places, strict=False):
         piece = vocabulary.get(i, "")
-        if not piece or piece == "▁" or piece.startswith("<"):
+        if not piece or piece == "▁" or piece in SPECIAL or piece.startswith("<|"):
             continue
         if piece.startswith("▁") or not out:
             out.append([piece.removeprefix("▁"), f, f])

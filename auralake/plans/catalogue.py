@@ -453,14 +453,14 @@ def mel_filterbank(spark: SparkSession, d: str) -> DataFrame:
     return bank(spark)
 
 
-@query(r"""SELECT DISTINCT path FROM (SELECT 'in/' || page_id || '.bin' AS path FROM pages WHERE page_id % 50 = 0
-UNION ALL SELECT regexp_replace(url, '[?#].*$', '') || ['.wav', '.MP3', '.txt', ''][(page_id % 4 + 1)::INT] FROM pages WHERE page_id % 4 IN (0, 1))""")
+@query(r"""SELECT DISTINCT path FROM (SELECT 'in/' || page_id || '.bin' AS path FROM pages UNION ALL
+SELECT regexp_replace(url, '[?#].*$', '') || ['.wav', '.MP3', '.txt', ''][(page_id % 4 + 1)::INT] AS path FROM pages) WHERE path LIKE 'in/%.bin' OR regexp_matches(lower(path), '\.(wav|mp3)$')""")
 def input_listing(spark: SparkSession, d: str) -> DataFrame:
     """Named files and listed media, each once."""
     pages = A.read(spark, d, "pages")
-    named = pages.where("page_id % 50 = 0").select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(".bin")).alias("path"))
+    named = pages.select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(".bin")).alias("path"))
     ends = F.array(*[F.lit(x) for x in (".wav", ".MP3", ".txt", "")])
-    listed = pages.where(F.expr("page_id % 4 <> 3")).select(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.element_at(ends, (F.col("page_id") % 4 + 1).cast("int"))).alias("path"))
+    listed = pages.select(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.element_at(ends, (F.col("page_id") % 4 + 1).cast("int"))).alias("path"))
     return batch.gather_inputs(named, listed)
 
 

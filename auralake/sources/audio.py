@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import shutil
 import subprocess
+import tempfile
+import threading
 import wave
 
 import numpy as np
@@ -35,6 +38,9 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
             raw = f.readframes(n)
     except (wave.Error, EOFError) as e:
         raise AudioError(f"not a PCM WAV file: {e}") from e
+    if channels < 1 or rate < 1:
+        raise AudioError("no channels or no rate")
+    raw = raw[: len(raw) // (width * channels) * width * channels]  # a file cut off ends with its last whole frame
     if width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608.0
@@ -47,24 +53,38 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
 
 
 def find_ffmpeg(env: dict[str, str] | None = None) -> str | None:
-    """The decoder that FFMPEG names, else the first in an absolute entry of PATH."""
+    """The decoder that FFMPEG names, if that is a file, else the first in an absolute entry of PATH."""
     env = dict(os.environ) if env is None else env
-    if named := env.get("FFMPEG"):
+    if (named := env.get("FFMPEG")) and os.path.isfile(named):
         return named
     entries = [p for p in env.get("PATH", "").split(os.pathsep) if os.path.isabs(p)]
     return shutil.which("ffmpeg", path=os.pathsep.join(entries)) if entries else None
 
 
-def decode_ffmpeg(content: bytes, rate: int = RATE) -> np.ndarray:
+def decode_ffmpeg(content: bytes, rate: int = RATE, most: int = MAX_SAMPLES) -> np.ndarray:
+    """Mono samples from the decoder's output, which is read block by block and no further than ``most`` samples."""
     if not (program := find_ffmpeg()):
         raise AudioError("no decoder for this format")
-    done = subprocess.run([program, "-v", "error", "-i", "pipe:0", "-vn", "-ac", "1", "-ar", str(rate), "-f", "f32le", "pipe:1"], input=content, capture_output=True, check=False)
-    if done.returncode:
-        raise AudioError(done.stderr.decode("utf-8", "replace")[-300:])
-    x = np.frombuffer(done.stdout[: len(done.stdout) // 4 * 4], "<f4")
-    if len(x) > MAX_SAMPLES:
-        raise AudioError(f"longer than {MAX_SAMPLES} samples")
-    return x
+    command = [program, "-v", "error", "-i", "pipe:0", "-vn", "-ac", "1", "-ar", str(rate), "-f", "f32le", "pipe:1"]
+    with tempfile.TemporaryFile() as said, subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=said) as run:
+        feed = threading.Thread(target=_feed, args=(run.stdin, content), daemon=True)
+        feed.start()
+        blocks, size = [], 0
+        while block := run.stdout.read(1 << 20):
+            blocks.append(block)
+            size += len(block)
+            if size > 4 * most:
+                run.kill()
+                raise AudioError(f"longer than {most} samples")
+        if run.wait():
+            said.seek(0)
+            raise AudioError(said.read().decode("utf-8", "replace")[-300:])
+    return np.frombuffer(b"".join(blocks)[: size // 4 * 4], "<f4")
+
+
+def _feed(pipe, content: bytes) -> None:
+    with contextlib.suppress(OSError), pipe:  # the decoder may end before it has read all
+        pipe.write(content)
 
 
 def decode(content: bytes, rate: int = RATE) -> np.ndarray:
@@ -98,7 +118,7 @@ def decode_rows(files: DataFrame, rate: int = RATE) -> DataFrame:
                 try:
                     x = decode(bytes(content), rate)
                     rows.append((path, rate, len(x) / rate, x.astype(np.float32), None, None))
-                except AudioError as e:
+                except ValueError as e:  # AudioError among them
                     rows.append((path, None, None, None, "Audio", str(e)))
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "duration_s", "samples", "error_class", "error"])
 
