@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 SLOTS = 4096
 #: Each slot's rows are numbered in so many parts, so that no task gathers a whole slot.
@@ -77,16 +79,33 @@ def rebalance_map(slot_map: DataFrame, slot_bytes: DataFrame, shards: int) -> Da
     )
 
 
-def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+def slot_sizes(rows: DataFrame) -> DataFrame:
     """Rows and bytes of each virtual slot. ``rows`` has (virtual_slot, size)."""
     return rows.groupBy("virtual_slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
+def store_map(slot_map: DataFrame, folder: str) -> DataFrame:
+    """Adds a version to the table of maps in a folder and reads it back. A version that is there already is an error."""
+    spark = slot_map.sparkSession
+    version = slot_map.first().version
+    slot_map.drop("version").coalesce(1).write.mode("error").parquet(f"{folder}/version={version}")
+    return read_map(spark, folder, version)
+
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the latest one unless another is named."""
+    maps = spark.read.option("basePath", folder).schema("virtual_slot int, shard int, version int").parquet(folder)
+    version = maps.agg(F.max("version")).first()[0] if version is None else version
+    return maps.where(F.col("version") == version)
+
+
 def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Shard and position of every row, by the map's versions for ``shards`` and for one more.
 
     Returns key, size (UTF-8 bytes plus 1), text_crc32, law ('key'), shard, slot (the row's position in
-    its shard, 0, 1, 2 ... without gaps), grown_shard, virtual_slot, map_version.
+    its shard, 0, 1, 2 ... without gaps), grown_shard, virtual_slot, slot_bytes (of all rows in that slot), map_version.
+    Both versions are stored in a table of the shared folder and read back from it. The law ``key`` leaves bytes out of
+    the choice of the shard; ``rebalance_map`` edits a map by them.
 
     Null texts have no bytes (size 1, checksum 0). A null key is the empty key. Repeated rows and rows with
     equal keys share the shard and get a position each, in the order of (key, size, checksum). An empty
@@ -105,12 +124,14 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         virtual_slot(k, slots).alias("_vs"),
         (_hash(k, 9) % CELLS).cast("int").alias("_cell"),
     )
-    first = initial_map(spark, shards, slots)
-    maps = first.join(grow_map(first, shards).select("virtual_slot", F.col("shard").alias("grown"), F.col("version").alias("v1")), "virtual_slot")
-    cells = rows.groupBy("_vs", "_cell").agg(F.count("*").alias("_n"))
+    folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    first = store_map(initial_map(spark, shards, slots), folder)
+    maps = first.join(store_map(grow_map(first, shards), folder).select("virtual_slot", F.col("shard").alias("grown"), F.col("version").alias("v1")), "virtual_slot")
+    cells = rows.groupBy("_vs", "_cell").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes"))
     placed = cells.join(maps.withColumnRenamed("virtual_slot", "_vs"), "_vs")
     before = Window.partitionBy("shard").orderBy("_vs", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("_vs", "_cell", "shard", "grown", "v1", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    whole = Window.partitionBy("_vs")
+    placed = placed.select("_vs", "_cell", "shard", "grown", "v1", F.sum("_bytes").over(whole).alias("slot_bytes"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_vs", "_cell").orderBy("_k", "_size", "_crc")
     numbered = rows.withColumn("_r", F.row_number().over(inside) - 1)
     return numbered.join(placed, ["_vs", "_cell"]).select(
@@ -122,6 +143,7 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         (F.col("_base") + F.col("_r")).cast("long").alias("slot"),
         F.col("grown").cast("int").alias("grown_shard"),
         F.col("_vs").alias("virtual_slot"),
+        "slot_bytes",
         F.col("v1").cast("int").alias("map_version"),
     )
 
@@ -153,6 +175,6 @@ m1 AS (
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, cell, doc_id, size, text_crc32) - 1 AS slot,
-  grown_shard, virtual_slot, 1 AS map_version
+  grown_shard, virtual_slot, (sum(size) OVER (PARTITION BY virtual_slot))::BIGINT AS slot_bytes, 1 AS map_version
 FROM slotted JOIN m1 USING (virtual_slot)
 """

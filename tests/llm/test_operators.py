@@ -1,5 +1,6 @@
 """Training-data operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -190,6 +191,21 @@ def test_shards(docs, spark):
     assert collections.Counter(r.shard for r in grown.collect()) == {0: 13, 1: 13, 2: 13, 3: 13, 4: 12}
 
 
+def test_stored_maps(spark, docs, tmp_path):
+    folder = f"{tmp_path}/maps"
+    first = shards.store_map(shards.initial_map(spark, 4, 64), folder)
+    second = shards.store_map(shards.grow_map(first, 4), folder)
+    rows = shards.assign(docs, shards=4, slots=64)
+    sizes = shards.slot_sizes(rows)
+    third = shards.store_map(shards.rebalance_map(second, sizes.select("virtual_slot", "bytes"), 5), folder)
+    assert {r.version for r in shards.read_map(spark, folder).collect()} == {2} and third.count() == shards.read_map(spark, folder, 0).count() == 64
+    assert {(r.virtual_slot, r.bytes) for r in sizes.collect()} == {(r.virtual_slot, r.slot_bytes) for r in rows.collect()}
+    of = {r.virtual_slot: r.shard for r in shards.read_map(spark, folder, 1).collect()}
+    assert all(r.grown_shard == of[r.virtual_slot] for r in rows.collect())
+    with pytest.raises(Exception, match="exists"):
+        shards.store_map(second, folder)
+
+
 def test_rebalance(spark):
     first = shards.initial_map(spark, 4, 64)
     size = {s: 100 + (900 if s % 4 == 1 else 0) for s in range(64)}
@@ -206,7 +222,7 @@ def test_bpe_is_the_library_s(docs):
     import public_tokenizers
     import tiktoken
 
-    b = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    b = bpe.PrefixBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
     r = random.Random(1)
     alphabet = [*" \n\t  \x85\x1c '!.,_ab12²½trñé漢🙂", "  ", "'s", "'ll", "the", "ing"]
@@ -228,7 +244,7 @@ def test_bpe_is_the_library_s(docs):
 def test_bpe_tables_append_and_edit():
     import public_tokenizers
 
-    b = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    b = bpe.PrefixBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     r = random.Random(9)
     some = lambda n: bytes(r.choice(b"theingaosrt e") for _ in range(n))
     for _ in range(60):
@@ -312,7 +328,38 @@ def test_warc(spark, docs):
     assert any(r.record_type == "revisit" for r in got)
     assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
     one = b"".join(bytes(r.content) for r in archives.collect())
-    assert len(list(warc.read_archive([one[i : i + 7] for i in range(0, len(one), 7)]))) == len(rows)
+    kinds = collections.Counter(r.kind for r in warc.read_archive([one[i : i + 7] for i in range(0, len(one), 7)]))
+    assert kinds.pop("warcinfo") == archives.count() and sum(kinds.values()) == len(rows)
+
+
+def foreign(lines, block):
+    return zlib.compress(b"WARC/1.0\r\n" + b"".join(f"{x}\r\n".encode() for x in lines) + b"\r\n" + block + b"\r\n\r\n", wbits=31)
+
+
+def test_warc_of_others(spark, docs, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    chunked = b"3\r\nabc\r\n4;x=y\r\ndefg\r\n0\r\n\r\n"
+    head = lambda kind, n, *more: [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "Content-Type: application/http; msgtype=response", f"Content-Length: {n}", *more]
+    one = foreign(head("response", len(http + chunked)), http + chunked)
+    lying = b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n" + b"x" * 200
+    two = foreign(head("response", len(lying), "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"x" * 200).digest()).decode()), lying)
+    other = foreign(["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:3>", "Content-Length: 2"], b"ab")
+    again = foreign(head("revisit", 0, "WARC-Refers-To: <urn:uuid:1-2>", "WARC-Payload-Digest: sha1:XYZ"), b"")
+    archives = spark.createDataFrame([(bytearray(warc.write_info("a") + one + two + other + again),), (None,)], "content binary")
+    got = [tuple(r) for r in warc.read_archives(archives).collect()]
+    digest = [hashlib.sha256(x).hexdigest() for x in (b"abcdefg", b"x" * 200)]
+    assert got == [(None, None, 7, digest[0], "response", None, "urn:uuid:1-2", None), (None, None, 200, digest[1], "response", None, "urn:uuid:1-2", None), (None, None, None, None, "revisit", None, "urn:uuid:1-2", "urn:uuid:1-2")]
+    assert warc.read_archives(archives, kinds=("warcinfo", "metadata")).count() == 2
+    bad = [two[:-9], foreign(head("response", len(lying), "WARC-Payload-Digest: sha1:" + "A" * 32), lying), foreign(["WARC-Type: response"], b""), foreign(["Content-Length: 0"], b""),
+           foreign(head("response", "x"), b""), foreign(head("response", len(http) + 4), http + b"zz\r\n"), foreign(["nonsense"], b"")]
+    for x in bad:
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive([x]))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"))
+    made = warc.write_archives(pages)
+    saved = warc.save_archives(made, f"{tmp_path}/warcs").collect()
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/warcs/*.warc.gz")
+    assert files.count() == len(saved) and sorted(map(str, warc.read_archives(files).collect())) == sorted(map(str, warc.read_archives(made).collect()))
 
 
 def test_warc_finds_damage():
