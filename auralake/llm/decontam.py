@@ -186,8 +186,8 @@ class Index:
         return sorted(best.values(), key=lambda m: (m[0] is None, m[0] or 0, m[4]))
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = ITEMS) -> list[Index]:
-    """The index of the benchmark, in parts of about ``items`` items, drawn by a hash of id and text.
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = ITEMS) -> Iterator[Index]:
+    """The index of the benchmark, in parts of about ``items`` items, drawn by a hash of id and text; the driver builds one at a time.
 
     An item without words (or null) has nothing to find; a null id is kept as null. Repeated items are found
     each. Statistics (item frequencies of words, mean length) are over all items.
@@ -201,12 +201,10 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     mean = (words.agg(F.sum(F.size("w"))).first()[0] or 0) / max(n, 1) or 1.0
     df = words.select("p", F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.collect_set("p").alias("ps"))
     df = spill(df, "benchmark-df") if passes > 1 else df
-    made = []
     for p in range(passes):
         rows = words.where(F.col("p") == p).select("i", "t").orderBy("i", "t").collect()
         counts = dict(df.where(F.array_contains("ps", F.lit(p).cast("long"))).select("w", "n").collect())
-        made.append(Index.build([(r.i, r.t) for r in rows], counts, n, mean))
-    return made
+        yield Index.build([(r.i, r.t) for r in rows], counts, n, mean)
 
 
 def _item_words(frames):
@@ -226,6 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own, out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), None
     for index in build_indexes(benchmark, item_col, item_text, items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index  # the driver keeps it in a file
 
         def run(batches, sent=sent) -> Iterator:
             import pyarrow as pa
@@ -251,6 +250,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     place = docs.columns.index(text_col)
     for index in build_indexes(benchmark, item_col, item_text, items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches, sent=sent) -> Iterator:
             import pyarrow as pa

@@ -145,7 +145,7 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
         return model
     model.suffix1, model.suffix2 = _rates(labelled, 1, mean), _rates(labelled, 2, mean)
     names = list(BORDERS)
-    rows = spill(binned(labelled, model).groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("y")).coalesce(8), "url-bins")
+    rows = spill(binned(labelled, model).groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("y")), "url-bins")
     for _ in range(trees):
         tree = Node()
         for _level in range(depth):
