@@ -268,8 +268,11 @@ class _PackedEncoder(TextEncoder):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def chunks(column, size: int = 2_000_000) -> Iterator[list[str]]:
-    """The texts of an Arrow column, null as the empty text, in lists of about so many bytes."""
+def chunks(column, size: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts of an Arrow column, null as the empty text, in lists of about so many bytes.
+
+    Each list's results leave the worker as a batch of their own: ids take more bytes than their text.
+    """
     texts, n = [], 0
     for b in text_bytes(column):
         texts.append(b.decode())
@@ -316,11 +319,17 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         take_over("bpe")
         enc = coder(TextEncoder, vocabulary)
         for batch in batches:
-            ids = [[i for p in packs for i in p] for texts in chunks(batch.column(1)) for packs in enc.packs(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.bpe.decode(x) for x in ids], pa.binary())],
-                names=[id_col, "n_tokens", "ids", "decoded"],
-            )
+            at = 0
+            for texts in chunks(batch.column(1)):
+                ids = [[i for p in packs for i in p] for packs in enc.packs(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(ids)), pa.array(map(len, ids), pa.int64()),
+                        pa.array(ids, pa.list_(pa.int32())), pa.array([enc.bpe.decode(x) for x in ids], pa.binary()),
+                    ],
+                    names=[id_col, "n_tokens", "ids", "decoded"],
+                )
+                at += len(ids)
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids array<int>, decoded binary")
 
@@ -357,10 +366,14 @@ def encode_packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         take_over("bpe")
         enc = coder(_PackedEncoder, vocabulary)
         for batch in batches:
-            packed = [b"".join(packs) for texts in chunks(batch.column(1)) for packs in enc.packs(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=[id_col, "n_tokens", "token_ids"]
-            )
+            at = 0
+            for texts in chunks(batch.column(1)):
+                packed = [b"".join(packs) for packs in enc.packs(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(packed)), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())],
+                    names=[id_col, "n_tokens", "token_ids"],
+                )
+                at += len(packed)
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, token_ids binary")
 

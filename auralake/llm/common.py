@@ -101,6 +101,19 @@ def take_over(owner: str) -> None:
     _owner = owner
 
 
+#: The setting for the bytes of rows that a Python worker gets at once, and what small_batches sets it to.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets a bound on the bytes that go to a Python worker at once, unless the session has one of its own.
+
+    Spark's own bound is 64 MB, of which an executor holds two or three copies for every core.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 #: Ids up to this number are sent to all executors to select rows; more are joined.
 SENT_IDS = 500_000
 
