@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auralake.llm import bpe, decontam, exact_dedup, ngram_join, quality
-from auralake.llm.common import spill, table
+from auralake.llm.common import small_batches, spill, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go. Null and empty texts get the curve's value at 0."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
+    small_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the least id stays."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, question and answer, go."""
+    small_batches(spark)
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token_ids (32-bit little-endian) of every document left."""
+    small_batches(spark)
     return bpe.encode_packed(docs)
 
 
