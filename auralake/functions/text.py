@@ -114,12 +114,19 @@ def argmax(x: Column) -> Column:
     return F.when(F.size(finite) > 0, F.array_position(x, best) - 1)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine_of(product: Column, na: Column, nb: Column) -> Column:
+    """The cosine distance of two vectors from their dot product and norms; 1 if either norm is below 1e-8."""
+    low = (na < 1e-8) | (nb < 1e-8)
+    return F.when(low, F.lit(1.0)).otherwise(1 - product / F.when(low, F.lit(1.0)).otherwise(na * nb))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - a.b / (|a| |b|); 1 if either norm is below 1e-8."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    low = (na < 1e-8) | (nb < 1e-8)
-    return F.when(low, F.lit(1.0)).otherwise(1 - dot(a, b) / F.when(low, F.lit(1.0)).otherwise(na * nb))
+    return cosine_of(dot(a, b), F.sqrt(dot(a, a)), F.sqrt(dot(b, b)))
 
 
 def hz_to_mel(f: Column) -> Column:

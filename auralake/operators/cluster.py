@@ -10,16 +10,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_distance
+from ..functions.text import cosine_of, dot
 
 THRESHOLD, ELBOW = 0.55, 0.30
 
 
 def pair_distances(vectors: DataFrame, key: str = "file", at: str = "i", vector: str = "x") -> DataFrame:
-    """(key, i, j, d) for i < j of the same file."""
-    a = vectors.select(key, F.col(at).alias("i"), F.col(vector).alias("a"))
-    b = vectors.select(key, F.col(at).alias("j"), F.col(vector).alias("b"))
-    return a.join(b, key).where("i < j").select(key, "i", "j", cosine_distance(F.col("a"), F.col("b")).alias("d"))
+    """(key, i, j, d) for i < j of the same file. Norms are taken once a vector, not once a pair."""
+    rows = vectors.select(key, F.col(at).alias("i"), F.col(vector).cast("array<double>").alias("x"))
+    a = rows.select(key, "i", F.col("x").alias("a"), F.sqrt(dot(F.col("x"), F.col("x"))).alias("na"))
+    b = a.select(key, F.col("i").alias("j"), F.col("a").alias("b"), F.col("na").alias("nb"))
+    d = cosine_of(dot(F.col("a"), F.col("b")), F.col("na"), F.col("nb"))
+    return a.join(b, key).where("i < j").select(key, "i", "j", d.alias("d"))
 
 
 def merge_count(steps: DataFrame, threshold: float = THRESHOLD, key: str = "file") -> DataFrame:

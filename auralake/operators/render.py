@@ -6,7 +6,7 @@ are rows (key, file, duration_s, language, model, device, text); ``text`` is the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cue, clock, spoken, strip
@@ -18,9 +18,10 @@ def co_speakers() -> Column:
     return F.when(F.col("overlap") & (F.size("speakers") > 1), others)
 
 
-def _joined(rows: DataFrame, key: str, line: Column, mark: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("id", line.alias("l"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["l"]), mark).alias("body"))
+def _joined(line: Column, mark: str) -> Column:
+    """The lines of a file in the order of their segments, as an aggregate; null lines are left out."""
+    listed = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("id", line.alias("l")))))
+    return F.array_join(F.transform(listed, lambda x: x["l"]), mark)
 
 
 def _lead(before: str, after: str, co_before: str, co_after: str) -> Column:
@@ -29,40 +30,36 @@ def _lead(before: str, after: str, co_before: str, co_after: str) -> Column:
 
 
 def srt(segments: DataFrame, key: str) -> DataFrame:
-    """(key, body): numbered cues; blank ones are skipped before numbering."""
-    from .islands import number
-
-    cues = segments.withColumn("_t", clean_cue(F.col("text"))).where("_t <> ''")
-    cues = number(cues, key, ["id"], 1, "_n")
+    """(key, body): numbered cues; blank ones are skipped before numbering. A file without cues has an empty body."""
+    cues = segments.withColumn("_t", clean_cue(F.col("text")))
+    some = F.col("_t") != ""
+    cues = cues.withColumn("_n", F.sum(F.when(some, 1)).over(Window.partitionBy(key).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     line = F.concat(F.col("_n").cast("string"), F.lit("\n"), clock(F.col("start_s")), F.lit(" --> "), clock(F.col("end_s")), F.lit("\n"), _lead("", ": ", " [+", "]"), F.col("_t"), F.lit("\n\n"))
-    return _all(segments, _joined(cues, key, line, ""), key, F.coalesce("body", F.lit("")))
+    return cues.groupBy(key).agg(_joined(F.when(some, line), "").alias("body"))
 
 
 def vtt(segments: DataFrame, key: str) -> DataFrame:
-    cues = segments.withColumn("_t", clean_cue(F.col("text"))).where("_t <> ''")
+    cues = segments.withColumn("_t", clean_cue(F.col("text")))
     voice = F.coalesce(F.concat(F.lit("<v "), F.col("speaker"), F.lit(">")), F.lit(""))
     line = F.concat(clock(F.col("start_s"), "."), F.lit(" --> "), clock(F.col("end_s"), "."), F.lit("\n"), voice, F.col("_t"), F.lit("\n\n"))
-    return _all(segments, _joined(cues, key, line, ""), key, F.concat(F.lit("WEBVTT\n\n"), F.coalesce("body", F.lit(""))))
+    return cues.groupBy(key).agg(F.concat(F.lit("WEBVTT\n\n"), _joined(F.when(F.col("_t") != "", line), "")).alias("body"))
 
 
-def _all(segments: DataFrame, bodies: DataFrame, key: str, body: Column) -> DataFrame:
-    """A row for each file, those without cues too."""
-    return segments.select(key).distinct().join(bodies, key, "left").select(key, body.alias("body"))
+def _named() -> Column:
+    return F.bool_or(F.col("speaker").isNotNull()).alias("named")
 
 
 def txt(segments: DataFrame, headers: DataFrame, key: str) -> DataFrame:
     """A line for each segment if any has a speaker, else the file's text as it is."""
     line = F.concat(F.coalesce(F.concat(F.col("speaker"), F.lit(": ")), F.lit("")), strip(F.col("text")))
-    spoken_by = segments.groupBy(key).agg(F.bool_or(F.col("speaker").isNotNull()).alias("named"))
-    rows = headers.select(key, "text").join(spoken_by, key, "left").join(_joined(segments, key, line, "\n"), key, "left")
+    rows = headers.select(key, "text").join(segments.groupBy(key).agg(_named(), _joined(line, "\n").alias("body")), key, "left")
     return rows.select(key, F.when(F.col("named"), F.col("body")).otherwise(strip(F.col("text"))).alias("body"))
 
 
 def md(segments: DataFrame, headers: DataFrame, key: str, timestamps: bool = False) -> DataFrame:
     stamp = F.concat(F.lit("`["), spoken(F.col("start_s")), F.lit(" → "), spoken(F.col("end_s")), F.lit("]` ")) if timestamps else F.lit("")
     line = F.concat(stamp, _lead("**", ":** ", " (+", ")"), strip(F.col("text")), F.lit("\n\n"))
-    named = segments.groupBy(key).agg(F.bool_or(F.col("speaker").isNotNull()).alias("named"))
-    rows = headers.join(named, key, "left").join(_joined(segments, key, line, ""), key, "left")
+    rows = headers.join(segments.groupBy(key).agg(_named(), _joined(line, "").alias("body")), key, "left")
     title = F.when(F.coalesce("file", F.lit("")) == "", F.lit("Transcripción")).otherwise(F.col("file"))
     language = F.when(F.coalesce("language", F.lit("")) != "", F.concat(F.lit("- **Idioma:** "), F.col("language"), F.lit("\n"))).otherwise(F.lit(""))
     head = F.concat(F.lit("# Transcripción — "), title, F.lit("\n\n- **Modelo:** "), F.col("model"), F.lit(" ("), F.col("device"), F.lit(")\n"), language, F.lit("- **Duración:** "), spoken(F.col("duration_s")), F.lit("\n\n"))

@@ -38,9 +38,14 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return kept.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 1).cast("long").alias("rank"), F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
 
 
+def lookup(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows with an id, and the token of that id; unknown ids are dropped. The size of the vocabulary decides how they are joined."""
+    return tokens.join(vocabulary, "id")
+
+
 def decode(tokens: DataFrame, vocabulary: DataFrame, keys: list[str], at: str = "pos") -> DataFrame:
     """Token rows (*keys, at, id) as text (*keys, text): unknown ids and marks are dropped, the word mark is a space."""
-    found = tokens.join(F.broadcast(vocabulary), "id").where(~is_special(F.col("token")))
+    found = lookup(tokens, vocabulary).where(~is_special(F.col("token")))
     listed = F.array_sort(F.collect_list(F.struct(at, "token")))
     body = F.array_join(F.transform(listed, lambda x: x["token"]), "")
     return found.groupBy(*keys).agg(strip(F.replace(body, F.lit(MARK), F.lit(" "))).alias("text"))
@@ -122,6 +127,12 @@ def languages(codes: list[str]) -> dict[str, str]:
     return {c: f"<|{c}|>" for c in codes}
 
 
+def language_code(language, codes: dict[str, str], default: str = "auto"):
+    """The code of a language id; the default for null and for ids that are not in ``codes``."""
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, language), F.lit(default))
+
+
 def resolve_language(requested, known: list[str]):
     """The language that a request names: null for none or auto; marks around it and case don't count; unknown ones are errors."""
     code = F.lower(strip(F.regexp_replace(strip(requested), r"^<\||\|>$", "")))

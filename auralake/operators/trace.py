@@ -10,6 +10,11 @@ EVENT = "array<struct<name:string,dur:string,args:struct<provider:string>>>"
 METRICS = ("host", "os", "arch", "device_arg", "ep_primary", "model", "audio_s", "rtf", "t_total_ms", "t_load_ms", "t_model_load_ms", "t_denoise_ms", "t_transcribe_ms", "t_diarize_ms", "t_render_ms", "rss_mb", "n_segments")
 
 
+def whole_number(json, path: str):
+    """The whole number at a JSON path; null if nothing is there or it has another type."""
+    return F.get_json_object(json, path).try_cast("bigint")
+
+
 def read_traces(spark: SparkSession, folder: str, glob: str = "prof_*.json") -> tuple[DataFrame, DataFrame]:
     """Kernel events (file, provider, dur_us) of the trace files of a folder, and the files that are no JSON (file)."""
     texts = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", EVENT).alias("events"))

@@ -37,21 +37,36 @@ class VoiceActivity:
 
 
 class _Processor(StatefulProcessor):
+    def __init__(self, levels: tuple[float, float, int, int]):
+        self.levels = levels
+
     def init(self, handle) -> None:
         self.state = handle.getValueState("vad", "first long, silence long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        vad = VoiceActivity(state=tuple(self.state.get()) if self.state.exists() else None)
-        frames = pd.concat(list(rows)).sort_values("i")
-        found = [s for i, p in zip(frames.i, frames.p, strict=True) if (s := vad.push(int(i), float(p)))]
+        vad = VoiceActivity(*self.levels, state=tuple(self.state.get()) if self.state.exists() else None)
+        frames, found = pd.concat(list(rows)).sort_values("i"), []
+        for i, p in zip(frames.i, frames.p, strict=True):
+            if pd.isna(p):
+                found.append((vad.end(int(i)), False))
+                vad.first = vad.silence = -1
+            else:
+                found.append((vad.push(int(i), float(p)), True))
         self.state.update((vad.first, vad.silence))
-        if found:
-            yield pd.DataFrame([(key[0], a, b, True) for a, b in found], columns=["file", "first", "last", "closed"])
+        if found := [(key[0], *s, closed) for s, closed in found if s]:
+            yield pd.DataFrame(found, columns=["file", "first", "last", "closed"])
 
     def close(self) -> None:
         pass
 
 
-def voice_activity_stream(frames: DataFrame) -> DataFrame:
-    """Closed speech segments of a stream of frames (file, i, p); a file's frames arrive in order."""
-    return frames.groupBy("file").transformWithStateInPandas(_Processor(), outputStructType=OUT, outputMode="append", timeMode="none")
+def voice_activity_stream(frames: DataFrame, on: float = 0.5, off: float = 0.35, min_silence: int = 4, min_speech: int = 8) -> DataFrame:
+    """Speech segments of a stream of frames (file, i, p), each as soon as it closes.
+
+    A file's frames arrive in order: frames of one batch are sorted, but a frame that comes in a later batch than its successors is
+    taken at its arrival. A row with a null p ends the file before frame i and brings out the segment that is still open, as not
+    closed; without such a row that segment stays in the state. The session needs the RocksDB state store.
+    """
+    return frames.groupBy("file").transformWithStateInPandas(
+        _Processor((on, off, min_silence, min_speech)), outputStructType=OUT, outputMode="append", timeMode="none"
+    )
