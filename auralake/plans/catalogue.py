@@ -325,7 +325,12 @@ def render_md(spark: SparkSession, d: str) -> DataFrame:
     return render.md(segs, _headers(segs), "conv_id", timestamps=True)
 
 
-@query()
+_ITEM = f"""'{{\n    "id" : ' || id || ',\n    "start" : ' || (start_ms / 1000)::DOUBLE || ',\n    "end" : ' || (end_ms / 1000)::DOUBLE || ',\n    "text" : ' || to_json(text)::VARCHAR || ',\n    "speaker" : "' || {_LABEL} || '"'
+  || CASE WHEN overlap THEN ',\n    "speakers" : [ ' || array_to_string(['"Hablante ' || (x + 1) || '"' FOR x IN speakers], ', ') || ' ],\n    "overlap" : true' ELSE '' END || '\n  }}'"""
+
+
+@query(f"""{_CUES} SELECT conv_id, '{{\n  "version" : "1.0",\n  "source" : {{\n    "file" : "conv-' || conv_id || '.wav",\n    "duration_s" : ' || (max(end_ms) / 1000)::DOUBLE || ',\n    "language" : "' || CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'es' END
+  || '"\n  }},\n  "model" : {{\n    "name" : "stub",\n    "device" : "CPU"\n  }},\n  "segments" : [ ' || string_agg({_ITEM}, ', ' ORDER BY id) || ' ],\n  "text" : ' || to_json(string_agg(text, ' ' ORDER BY id))::VARCHAR || '\n}}' AS body FROM marked GROUP BY conv_id""")
 def render_json(spark: SparkSession, d: str) -> DataFrame:
     """K4: JSON without nulls, empty lists and false overlaps."""
     segs = _segments(spark, d)
