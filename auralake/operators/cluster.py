@@ -1,7 +1,7 @@
 """Speakers from embeddings: cosine distances, average linkage and the cut of its tree.
 
-Linkage needs all distances of one file at a time, so it runs in a grouped pandas function by file; a file's
-embeddings are its speech segments, some thousands at most.
+Linkage compares all embeddings of one file, so it runs in a grouped pandas function by file. Its memory grows with a
+file's embeddings (its speech segments), its time with their square.
 """
 
 from __future__ import annotations
@@ -38,25 +38,57 @@ def merge_count(steps: DataFrame, threshold: float = THRESHOLD, key: str = "file
     )
 
 
-def average_linkage(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """The steps of average linkage on cosine distance: members (by their least row) and height, least first."""
+def _distinct_units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(sums, sizes, least rows, pairs of rows alike): the vectors at length 1, equal ones taken together.
+
+    A vector whose norm is below 1e-8 or no number is 0 and stays by itself, which puts it at distance 1 from all others.
+    """
     norm = np.linalg.norm(x, axis=1)
-    dot = x @ x.T
-    low = norm < 1e-8
-    d = 1 - dot / np.maximum(np.outer(norm, norm), 1e-16)
-    d[low, :] = d[:, low] = 1.0
-    np.fill_diagonal(d, np.inf)
-    size, alive, steps = np.ones(len(x)), np.ones(len(x), bool), []
-    for _ in range(len(x) - 1):
-        a, b = divmod(int(np.argmin(d)), len(x))
-        a, b = min(a, b), max(a, b)
-        steps.append((a, b, float(d[a, b])))
-        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a] = merged, merged
-        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+    low = ~((norm >= 1e-8) & np.isfinite(norm))
+    unit = np.where(low[:, None], 0.0, x / np.where(low, 1.0, norm)[:, None]) + 0.0
+    seen: dict[object, int] = {}
+    first = np.array([seen.setdefault(i if low[i] else unit[i].tobytes(), i) for i in range(len(x))])
+    rows, at, size = np.unique(first, return_inverse=True, return_counts=True)
+    return unit[rows] * size[:, None], size.astype(float), rows, [(int(first[i]), int(i)) for i in np.flatnonzero(first != np.arange(len(x)))]
+
+
+def average_linkage(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """The steps of average linkage on cosine distance: members (by their least row) and height, least first.
+
+    The mean distance of two clusters is 1 minus the product of the means of their vectors at length 1, so a cluster is its sum and
+    its size, and no table of distances is held. Merges are found by chains of nearest neighbours, as in the reference's library.
+    """
+    sums, size, name, alike = _distinct_units(np.asarray(x, float))
+    steps = [(a, b, 0.0) for a, b in alike]
+    mean, alive, dead = sums / size[:, None], np.ones(len(sums), bool), 0
+    chain: list[int] = []  # each one's nearest is the next one, ever nearer
+    gaps: list[float] = []
+    found, height = [], np.zeros(len(sums))
+    for _ in range(len(sums) - 1):
+        if not chain:
+            chain, gaps = [int(np.argmax(alive))], []
+        while True:
+            d = 1 - mean @ mean[chain[-1]]
+            d[~alive] = np.inf
+            d[chain] = np.inf  # no earlier one is nearer than the last gap, rounding aside
+            near = int(np.argmin(d))
+            if gaps and not d[near] < gaps[-1]:
+                break
+            chain.append(near)
+            gaps.append(float(d[near]))
+        a, b = sorted((chain.pop(), chain.pop()), key=lambda i: name[i])
+        h = max(gaps.pop(), height[a], height[b])  # rounding aside, heights never fall
+        del gaps[len(chain) - 1 if chain else 0 :]
+        found.append((int(name[a]), int(name[b]), float(h)))
+        sums[a] += sums[b]
         size[a] += size[b]
-        alive[b] = False
-    return steps
+        mean[a], height[a], alive[b], dead = sums[a] / size[a], h, False, dead + 1
+        if dead > 256 and 2 * dead > len(alive):
+            place = np.cumsum(alive) - 1
+            chain = [int(place[i]) for i in chain]
+            sums, size, name, mean, height = sums[alive], size[alive], name[alive], mean[alive], height[alive]
+            alive, dead = np.ones(len(sums), bool), 0
+    return steps + sorted(found, key=lambda step: step[2])
 
 
 def cut(n: int, steps: list[tuple[int, int, float]], max_speakers: int | None, threshold: float = THRESHOLD) -> list[int]:
@@ -69,7 +101,9 @@ def cut(n: int, steps: list[tuple[int, int, float]], max_speakers: int | None, t
         merges = 1 - max(jumps)[1] if jumps else next((i for i, v in enumerate(h) if v > threshold), len(h))
     root = list(range(n))
     for a, b, _ in steps[:merges]:
-        root = [a if r == b else r for r in root]
+        root[b] = a
+    for i in range(n):  # a step's first member is the lesser row
+        root[i] = root[root[i]]
     first: dict[int, int] = {}
     return [first.setdefault(r, len(first)) for r in root]
 

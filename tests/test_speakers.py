@@ -68,6 +68,38 @@ def test_clusters():
     assert labels([[1, 0], [0.99, 0.05], [0.98, 0.03]]) == [0, 0, 0]
 
 
+def test_linkage_holds_no_table_of_distances():
+    import tracemalloc
+
+    def plain(x):
+        """Mean distances of all clusters, taken anew for each step."""
+        unit = [v / np.linalg.norm(v) if np.linalg.norm(v) >= 1e-8 else v * 0 for v in x]
+        groups, heights = [[i] for i in range(len(x))], []
+        while len(groups) > 4:
+            h, a, b = min((float(np.mean([1 - unit[i] @ unit[j] for i in p for j in q])), n, m) for m, q in enumerate(groups) for n, p in enumerate(groups[:m]))
+            heights.append(h)
+            groups[a] += groups.pop(b)
+        return {frozenset(g) for g in groups}, heights
+
+    r = np.random.default_rng(5)
+    for zero in (False, True) * 4:
+        x = r.normal(size=(24, 5))
+        x[7] = 3 * x[2]
+        x[9] *= not zero
+        steps = cluster.average_linkage(x)
+        labels, (groups, heights) = cluster.cut(24, steps, 4), plain(x)
+        assert {frozenset(i for i in range(24) if labels[i] == k) for k in set(labels)} == groups
+        assert np.allclose([s[2] for s in steps[:20]], heights, atol=1e-9) and len(steps) == 23
+    # Distances that differ by rounding alone, and many copies.
+    assert len(cluster.average_linkage(np.eye(40)[np.arange(400) % 40] * np.linspace(0.1, 3, 400)[:, None])) == 399
+    x = r.normal(size=(1500, 8))
+    tracemalloc.start()
+    assert len(cluster.average_linkage(x)) == 1499
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # one table of distances is 18 MB
+
+
 def test_cluster_and_merge_count_on_tables(spark):
     v = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 2, [0.9, 0.1]), ("b", 0, [0.0, 0.0])], "file string, i long, x array<double>")
     assert {(r.file, r.i, r.label) for r in cluster.cluster(v, 2).collect()} == {("a", 0, 0), ("a", 1, 1), ("a", 2, 0), ("b", 0, 0)}
