@@ -24,6 +24,118 @@ def pair_distances(vectors: DataFrame, key: str = "file", at: str = "i", vector:
     return a.join(b, key).where("i < j").select(key, "i", "j", d.alias("d"))
 
 
+def _rounded(d: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark's round: half up by the shortest decimal digits of the number."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    scale = 10.0**digits
+    n = np.where(np.isfinite(d), np.abs(d), 0.0) * scale
+    out = np.where(np.isfinite(d), np.sign(d) * np.floor(n + 0.5) / scale + 0.0, d)
+    near = np.flatnonzero(np.abs(n % 1 - 0.5) < 1e-4)
+    if len(near):
+        some, at = np.unique(d[near], return_inverse=True)
+        out[near] = np.array([float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in some])[at]
+    return out
+
+
+class _Block:
+    """Vectors of one file: their matrix, norms summed in order, lengths (-1: no vector) and the rank of each one's number."""
+
+    def __init__(self, packs: list):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.ids = pa.chunked_array([p.field("i") for p in packs]).combine_chunks()
+        lists = pa.chunked_array([p.field("x") for p in packs]).combine_chunks()
+        self.length = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        self.x = np.zeros((len(lists), max(int(self.length.max()), 0)))
+        self.x[np.arange(self.x.shape[1]) < self.length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        self.rank = np.unique(self.ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        norm = np.sqrt(self.products(*[np.arange(len(lists))] * 2))
+        self.low = (norm < 1e-8) & (self.length >= 0)
+        self.norm = np.where(self.low, 1.0, norm)
+
+    def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for k in range(self.x.shape[1]):
+            total += self.x[a, k] * self.x[b, k]
+        return total
+
+    def about(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of rows a to rows b by a product of matrices, right but for rounding; infinite where there is none, NaN unless a's number is the lesser."""
+        d = 1 - (self.x[a] @ self.x[b].T) / np.outer(self.norm[a], self.norm[b])
+        d[np.isnan(d) | (self.length[a][:, None] != self.length[b]) | (self.length[a] < 0)[:, None]] = np.inf
+        d[self.low[a]], d[:, self.low[b]] = 1.0, 1.0
+        return d
+
+    def nearest(self, left: np.ndarray, right: np.ndarray, count: int, digits: int):
+        """(row, row, distance, whether there is none) of the first ``count`` pairs of rows of left and right by (rounded distance,
+        lesser number, greater number). Only pairs that can be among them are summed in order, which gives their distance itself."""
+        far, slack = np.inf, 2 * 10.0**-digits
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+        rank = self.rank
+        for i in range(0, len(left), HELD):
+            for j in range(0, len(right), HELD):
+                a, b = left[i : i + HELD], right[j : j + HELD]
+                d = self.about(a, b)
+                d[rank[a][:, None] >= rank[b] if left is right else rank[a][:, None] == rank[b]] = np.nan
+                some = d[d <= far]
+                if len(some) > count:
+                    far = min(far, float(np.partition(some, count - 1)[count - 1]) + slack)
+                p, q = np.nonzero(d <= far)
+                p, q = a[p], b[q]
+                p, q = np.where(rank[p] < rank[q], p, q), np.where(rank[p] < rank[q], q, p)
+                low = self.low[p] | self.low[q]
+                exact = np.where(low, 1.0, 1 - self.products(p, q) / (self.norm[p] * self.norm[q]))
+                p, q, exact, none = (np.concatenate(c) for c in zip(best, (p, q, exact, ~low & ((self.length[p] != self.length[q]) | (self.length[p] < 0))), strict=True))
+                order = np.lexsort((rank[q], rank[p], _rounded(exact, digits), none))[:count]
+                best = p[order], q[order], exact[order], none[order]
+                if len(order) == count and not (best[3][-1] or np.isnan(best[2][-1])):
+                    far = min(far, float(best[2][-1]) + slack)
+        return best
+
+
+#: Vectors of a block, and rows of it that are multiplied at once.
+BLOCK, HELD = 2000, 500
+
+
+def nearest_pairs(vectors: DataFrame, count: int, digits: int = 6, key: str = "file", at: str = "i", vector: str = "x", block: int = BLOCK) -> DataFrame:
+    """(key, i, j, d) of the ``count`` first pairs i < j of each file by (d, i, j), with d rounded: the pairs of pair_distances, without a row for each.
+
+    A file's vectors are dealt to blocks. Every two blocks, and every block by itself, are compared by products of matrices,
+    and only the first pairs of each comparison leave it. Pairs without a distance (null) come last.
+    """
+    from .islands import number
+
+    v = vectors.select(key, F.col(at).alias("i"), F.when(~F.exists(vector, lambda e: e.isNull()), F.col(vector)).alias("x")).dropna(subset=[key, "i"])
+    large = v.groupBy(key).agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")  # one in ``block`` rows at most
+    dealt = v.join(F.broadcast(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    packs = dealt.withColumn("b", F.pmod(F.xxhash64("i"), "blocks")).groupBy(key, "blocks", "b").agg(F.collect_list(F.struct("i", "x")).alias("v"))
+    packs = packs.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(key, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "v")
+    types = dict(v.dtypes)
+
+    def run(keys, found):
+        import pyarrow as pa
+
+        packs = [c[i].values for c in found.column("v").chunks for i in range(len(c))]
+        one = keys[1] == keys[2]
+        if not one and len(packs) < 2:  # nothing was dealt to the other block
+            packs, one = [packs[0][:0]], True
+        if one and not len(packs[0]):
+            i = j = packs[0].field("i")
+            d = pa.array([], pa.float64())
+        else:
+            at_once, n = _Block(packs), len(packs[0])
+            every = np.arange(len(at_once.x))
+            a, b, d, none = at_once.nearest(every, every, count, digits) if one else at_once.nearest(every[:n], every[n:], count, digits)
+            i, j, d = at_once.ids.take(pa.array(a)), at_once.ids.take(pa.array(b)), pa.array(d, mask=none)
+        return pa.table({key: pa.array([keys[0].as_py()] * len(d), keys[0].type), "i": i, "j": j, "d": d})
+
+    pairs = packs.groupBy(key, "p", "q").applyInArrow(run, f"`{key}` {types[key]}, i {types['i']}, j {types['i']}, d double")
+    first = number(pairs.withColumn("d", F.round("d", digits)), key, [F.col("d").asc_nulls_last(), "i", "j"], 1, "r")
+    return first.where(F.col("r") <= count).select(key, "i", "j", "d")
+
+
 def merge_count(steps: DataFrame, threshold: float = THRESHOLD, key: str = "file") -> DataFrame:
     """How many steps (key, step, height) of a linkage to take: (key, merges, elbow).
 

@@ -100,6 +100,30 @@ def test_linkage_holds_no_table_of_distances():
     assert peak < 4e6  # one table of distances is 18 MB
 
 
+def test_nearest_pairs_are_those_of_all_pairs(spark):
+    from pyspark.sql import Window
+
+    r = np.random.default_rng(3)
+    rows = [(f"f{i % 2}", 7 * i % 601, [float(v) for v in np.float32(r.normal(size=6))]) for i in range(300)]
+    rows += [("copies", i, [1.0, 2.0, 0.5]) for i in range(120)] + [("copies", 200 + i, [1.0 + i, 2.0, -0.5]) for i in range(30)]
+    rows += [("odd", 0, [0.0, 0.0]), ("odd", 1, None), ("odd", 2, [1.0, 0.0]), ("odd", 3, [float("nan"), 1.0]), ("odd", 4, [1.0, 2.0, 3.0]), ("one", 0, [1.0]), (None, 0, [1.0]), (None, 1, [1.0])]
+    rows += [("half", 0, [1.0, 0.0]), ("half", 1, [0.5, 0.8660258]), ("half", 2, [0.5, -0.8660258]), ("none", 0, None), ("none", 1, None)]
+    v = spark.createDataFrame(rows, "file string, i long, x array<double>")
+    w = Window.partitionBy("file").orderBy(F.col("d").asc_nulls_last(), "i", "j")
+    every = cluster.pair_distances(v).withColumn("d", F.round("d", 6)).withColumn("r", F.row_number().over(w)).where("r <= 9").drop("r")
+    say = lambda df: sorted((x.file, x.i, x.j, str(x.d)) for x in df.collect())
+    want = say(every)
+    assert len(want) == 9 * 4 + 3 + 1 and say(cluster.nearest_pairs(v, 9)) == want and say(cluster.nearest_pairs(v, 9, block=16)) == want
+    assert cluster._rounded(np.array([0.0000005, 1.0000015, 0.1234565, 2.5e-7, np.nan]), 6)[:4].tolist() == [1e-6, 1.000002, 0.123457, 0.0]
+
+
+def test_pairs_query_makes_no_row_for_each_pair(spark):
+    from auralake.plans import catalogue
+
+    plan = catalogue.cosine_pairs_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.lower() and "zipwith" not in plan.lower()
+
+
 def test_cluster_and_merge_count_on_tables(spark):
     v = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 2, [0.9, 0.1]), ("b", 0, [0.0, 0.0])], "file string, i long, x array<double>")
     assert {(r.file, r.i, r.label) for r in cluster.cluster(v, 2).collect()} == {("a", 0, 0), ("a", 1, 1), ("a", 2, 0), ("b", 0, 0)}
