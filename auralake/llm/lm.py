@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, id_fold, kept, packed, parts, spill, summed, table, take_over, text_bytes
+from .common import discard, id_fold, kept, packed, parts, small_batches, spill, summed, table, take_over, text_bytes
 
 #: Words with so many ranks are looked up in memory by every task; the counts of all others are joined.
 SENT_WORDS = 100_000
@@ -282,7 +282,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     sc = spark.sparkContext
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_fold(F.col(id_col), folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = spill(own.mapInArrow(_prepare(vocabulary), _CHUNK), "lm-texts", ("kind",), "zstd")
+    made = spill(own.mapInArrow(_prepare(vocabulary), _CHUNK), "lm-texts", ("kind",), "zstd", long_rows=True)
     chunks = made.where("kind = 0").select(*_SENT)
     words = spill(made.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     size = _vocabulary_size(vocabulary)
@@ -343,4 +343,5 @@ def _vocabulary_size(name: str) -> int:
 
 
 def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)  # a chunk has megabytes: else some ten of them go to a worker at once
     return score_texts(table(spark, sf_dir, "documents"))

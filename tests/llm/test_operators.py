@@ -241,6 +241,26 @@ def test_bpe_is_the_library_s(docs):
     assert bpe.encode_column(empty(docs)).count() == 0
 
 
+def test_spilled_long_rows_lie_in_small_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from auralake.llm import common
+
+    def noise(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([random.Random(i).randbytes(1 << 20) for i in range(b.num_rows)], pa.binary())], names=["id", "x"])
+
+    rows = spark.range(0, 40, 1, 1).mapInArrow(noise, "id long, x binary")
+    made = common.spill(rows, "long-rows", long_rows=True)
+    (path,) = glob.glob(made._spilled.removeprefix("file:") + "/*.parquet")
+    groups = [pq.read_metadata(path).row_group(i) for i in range(pq.read_metadata(path).num_row_groups)]
+    assert sum(g.num_rows for g in groups) == made.count() == 40 and max(g.total_byte_size for g in groups) < 12 << 20
+
+
 def test_bpe_tables_append_and_edit():
     import public_tokenizers
 
