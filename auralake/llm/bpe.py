@@ -194,10 +194,15 @@ class TextEncoder:
     into words, each with its space, that split independently of one another.
     """
 
-    def __init__(self, bpe: PrefixBPE, source: str, held: int = 50_000):
-        self.bpe, self.split, self.held = bpe, pattern(source).findall, held
+    #: Words of a cache, and pieces.
+    HELD = 50_000
+
+    def __init__(self, bpe: PrefixBPE, source: str, held: int | None = None):
+        self.bpe, self.split, self.held = bpe, pattern(source).findall, held or self.HELD
         self.pieces: dict[str, list[int]] = {}
+        #: Of words, two caches: when one is full, the other begins anew and takes over what is met again.
         self.words: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def pack(self, ids: list[int]):
         """What is kept of a word's ids."""
@@ -235,9 +240,14 @@ class TextEncoder:
         new = set()
         for units in cut:
             new.update(units[1:])
-        new.difference_update(self.words.keys() if len(self.words) + len(new) < 2 * self.held else ())
-        if len(self.words) + len(new) >= 2 * self.held:
-            self.words.clear()
+        if len(self.words) + len(new) > self.held:
+            self.older, self.words = self.words, {}
+        words, older, pack = self.words, self.older, self.pack
+        new.difference_update(words.keys())
+        again = older.keys() & new if len(new) > len(older) else [w for w in new if w in older]
+        for w in again:  # what is still in use stays
+            words[w] = older[w]
+        new.difference_update(again)
         split = self.split
         parts = {w: split(" " + w) for w in new}
         fresh = {m for ms in parts.values() for m in ms}
@@ -245,7 +255,7 @@ class TextEncoder:
         if len(self.pieces) + len(fresh) > self.held:
             fresh = {m for ms in parts.values() for m in ms}
         self.learn(fresh)
-        words, pieces, pack = self.words, self.pieces, self.pack
+        pieces = self.pieces
         for w, ms in parts.items():
             words[w] = pack(pieces[ms[0]] if len(ms) == 1 else [i for m in ms for i in pieces[m]])
         if max(map(len, new), default=0) > 100:
@@ -259,6 +269,8 @@ class TextEncoder:
 
 
 class _DigestEncoder(TextEncoder):
+    HELD = 250_000  # it has the worker for itself, unlike those in the pipeline
+
     def pack(self, ids):
         return ",".join(map(str, ids)), len(ids), self.bpe.decode(ids)
 

@@ -241,6 +241,20 @@ def test_bpe_is_the_library_s(docs):
     assert bpe.encode_column(empty(docs)).count() == 0
 
 
+def test_bpe_keeps_words_in_use_when_its_cache_is_full():
+    import public_tokenizers
+
+    cut = []
+    enc = bpe.TextEncoder(bpe.PrefixBPE.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, held=20)
+    whole = enc.split
+    enc.split = lambda text: cut.append(text) or whole(text)
+    for i in range(40):
+        text = f" often seen n{i} m{i} k{i}"
+        assert [i for p in next(enc.packs([text])) for i in p] == [i for m in whole(text) for i in enc.bpe.encode_piece(m.encode())]
+        assert len(enc.words) <= 20 and len(enc.older) <= 20
+    assert cut.count(" often") == cut.count(" seen") == 1 and cut.count(" n7") == 1
+
+
 def test_spilled_long_rows_lie_in_small_groups(spark):
     import glob
 
