@@ -10,6 +10,7 @@ own) times the id's share of its class in the training corpus, given the class o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,7 +19,8 @@ BLOCK, WIDTH, HIDDEN = 16, 16, 32
 SINGLES, GROUPS, INPUTS = 95, 32, 4096
 FREE = 64
 NAMES = ("E", "P", "Q", "K", "V", "O", "W1", "b1", "W2", "U", "b")
-_MASK = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(2 * BLOCK)[:, None], 0, -1e9).astype(np.float32)
+#: 1 where an id may look: at itself and those before it in the window.
+_OPEN = np.tri(2 * BLOCK, dtype=np.float32)
 
 
 @dataclass
@@ -132,47 +134,68 @@ def windows(flat: np.ndarray, sizes: np.ndarray, vocab: Vocabulary):
     return np.concatenate([before, x], axis=1), y, count
 
 
+@lru_cache(1)
+def _exp():
+    """Exponentials of a float32 array, in place or in a new one. onnxruntime's kernel takes a third of numpy's time; numpy's serves without it."""
+    try:
+        import onnxruntime as ort
+    except ImportError:
+        return lambda x: np.exp(x, out=x)
+    # ModelProto (ir_version, graph, opset) of one node, by field number: length-delimited fields, and numbers
+    part = lambda k, x: bytes([k << 3 | 2, len(x)]) + x
+    number = lambda k, x: bytes([k << 3, x])
+    value = lambda name: part(1, name) + part(2, part(1, number(1, 1)))
+    graph = part(1, part(1, b"x") + part(2, b"y") + part(4, b"Exp")) + part(2, b"exp") + part(11, value(b"x")) + part(12, value(b"y"))
+    options = ort.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1
+    options.enable_cpu_mem_arena = False
+    session = ort.InferenceSession(number(1, 8) + part(7, graph) + part(8, number(2, 17)), options, providers=["CPUExecutionProvider"])
+    return lambda x: session.run(None, {"x": x})[0]
+
+
+@lru_cache(8)
+def _ones(n: int) -> np.ndarray:
+    """For sums of rows by a product, which is faster than sum(1)."""
+    return np.ones(n, np.float32)
+
+
 class Scorer:
-    """Log10 probabilities of texts. What depends on an input id alone is tabulated."""
+    """Log10 probabilities of texts. What depends on an input id alone is tabulated; biases are a row of the matrices, for a last 1 in the vectors."""
 
     def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary):
-        self.p, self.vocab = p, vocab
+        self.vocab = vocab
         scale = np.float32(WIDTH**-0.5)
-        self.e, self.q = p["E"], p["E"] @ p["Q"] * scale
-        self.kv = np.concatenate([p["E"] @ p["K"], p["E"] @ p["V"] @ p["O"]], axis=1)
-        self.pe, self.pq = p["P"][BLOCK:], p["P"][BLOCK:] @ p["Q"] * scale
-        self.pkv = np.concatenate([p["P"] @ p["K"], p["P"] @ p["V"] @ p["O"]], axis=1)
-        self.ut = np.ascontiguousarray(p["U"].T)
-        self.open = (_MASK[BLOCK:] == 0).astype(np.float32)
+        self.kv, self.pkv = (np.concatenate([e @ p["K"], e @ p["V"] @ p["O"]], axis=1) for e in (p["E"], p["P"]))
+        self.qe, self.pqe = (np.concatenate([e @ p["Q"] * scale, e], axis=1) for e in (p["E"], p["P"][BLOCK:]))
+        self.w1, self.w2 = np.concatenate([p["W1"], p["b1"][None]]), p["W2"]
+        self.u = np.concatenate([p["U"], p["b"][:, None]], axis=1)
+        self.open = _OPEN[BLOCK:]
 
     def rows(self, ins: np.ndarray, outs: np.ndarray) -> np.ndarray:
         """Log10 probability of each window's targets together."""
-        p, v = self.p, self.vocab
+        v = self.vocab
         r = v.row[ins]
-        kv = self.kv[r]
+        kv = np.take(self.kv, r, axis=0)
         kv += self.pkv
-        own = r[:, BLOCK:]
-        q = self.q[own]
-        q += self.pq
-        a = q @ kv[..., :WIDTH].transpose(0, 2, 1)
-        np.exp(a, out=a)
+        qe = np.take(self.qe, r[:, BLOCK:], axis=0)
+        qe += self.pqe
+        a = qe[..., :WIDTH] @ kv[..., :WIDTH].transpose(0, 2, 1)
+        a = _exp()(a)
         a *= self.open
-        h = a @ kv[..., WIDTH:]
-        h /= a.sum(-1, keepdims=True)
-        h += self.e[own]
-        h += self.pe
-        h = h.reshape(-1, WIDTH)
-        u = h @ p["W1"]
-        u += p["b1"]
+        h = np.empty((*outs.shape, WIDTH + 1), np.float32)
+        h[..., WIDTH] = 1
+        np.divide(a @ kv[..., WIDTH:], (a.reshape(-1, 2 * BLOCK) @ _ones(2 * BLOCK)).reshape(*outs.shape, 1), out=h[..., :WIDTH])
+        h[..., :WIDTH] += qe[..., WIDTH:]
+        h = h.reshape(-1, WIDTH + 1)
+        u = h @ self.w1
         np.maximum(u, 0, out=u)
-        h += u @ p["W2"]
-        z = h @ self.ut
-        z += p["b"]
+        h[:, :WIDTH] += u @ self.w2
+        z = h @ self.u.T
         flat = outs.ravel()
         t = np.maximum(flat, 0)
-        own = z[np.arange(len(t)), v.cls[t]]
-        np.exp(z, out=z)
-        got = (own - np.log(z @ np.ones(z.shape[1], np.float32))) * np.float32(0.4342944819)
+        own = z.ravel()[np.arange(0, z.size, z.shape[1]) + v.cls[t]]
+        z = _exp()(z)
+        got = (own - np.log(z @ _ones(z.shape[1]))) * np.float32(0.4342944819)
         got += v.share[t] if v.after is None else v.after[v.cls[ins[:, BLOCK:].ravel()], t]
         return np.where(flat >= 0, got, 0).reshape(outs.shape).sum(1, dtype=np.float64)
 
@@ -190,57 +213,60 @@ def gradient(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs:
     embeddings is ("E": the rows of ids that occur, "dE": theirs)."""
     d, scale = WIDTH, np.float32(WIDTH**-0.5)
     r, flat = vocab.row[ins], outs.ravel()
-    x = p["E"][r]
+    x = np.take(p["E"], r, axis=0)
     x += p["P"]
     shape, x = x.shape, x.reshape(-1, d)
-    qkv = x @ np.concatenate([p["Q"] * scale, p["K"], p["V"]], axis=1)
-    q, k, v = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(shape) for i in range(3))
+    n, wide = len(x), shape[1]
+    into = np.concatenate([p["Q"] * scale, p["K"], p["V"]], axis=1)
+    qkv = (x @ into).reshape(*shape[:2], 3 * d)
+    q, k, v = (qkv[..., i * d : (i + 1) * d] for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    np.exp(a, out=a)
-    a *= (1 / (a.reshape(-1, shape[1]) @ np.ones(shape[1], np.float32))).reshape(shape[0], shape[1], 1)
+    a = _exp()(a)
+    a *= _OPEN[:wide, :wide]
+    a *= (1 / (a.reshape(-1, wide) @ _ones(wide))).reshape(*shape[:2], 1)
     o = (a @ v).reshape(-1, d)
-    h = o @ p["O"]
-    h += x
-    pre = h @ p["W1"]
-    pre += p["b1"]
-    u = np.maximum(pre, 0)
-    z = u @ p["W2"]
-    z += h
-    g = z @ p["U"].T
-    g += p["b"]
-    np.exp(g, out=g)
-    t, n = vocab.cls[np.maximum(flat, 0)], np.arange(len(flat))
+    h, z = np.empty((n, d + 1), np.float32), np.empty((n, d + 1), np.float32)  # the last column is 1, for the biases
+    h[:, d] = z[:, d] = 1
+    np.add(o @ p["O"], x, out=h[:, :d])
+    u = h @ np.concatenate([p["W1"], p["b1"][None]])
+    np.maximum(u, 0, out=u)
+    np.add(u @ p["W2"], h[:, :d], out=z[:, :d])
+    g = z @ np.concatenate([p["U"], p["b"][:, None]], axis=1).T
+    g = _exp()(g)
+    sums = g @ _ones(g.shape[1])
+    at = np.arange(0, g.size, g.shape[1]) + vocab.cls[np.maximum(flat, 0)]
+    own = g.ravel()[at]
     real = (flat >= 0).astype(np.float32)
     total = np.float32(max(real.sum(), 1))
-    sums = g @ np.ones(g.shape[1], np.float32)
-    loss = float(((np.log(sums) - np.log(g[n, t])) * real).sum() / total)
-    g *= (real / total / sums)[:, None]
-    g[n, t] -= real / total
-    out = {"U": g.T @ z, "b": g.sum(0)}
+    loss = float(np.log(sums / own) @ real / total)
+    g.ravel()[at] = own - sums  # g times part is the gradient of the logits
+    part = (real / total / sums)[:, None]
+    out = {"U": g.T @ (z[:, :d] * part), "b": part[:, 0] @ g}
     dz = g @ p["U"]
+    dz *= part
     du = dz @ p["W2"].T
-    du *= pre > 0
-    out["W2"], out["W1"], out["b1"] = u.T @ dz, h.T @ du, du.sum(0)
+    du *= u > 0
+    out["W2"], out["W1"], out["b1"] = u.T @ dz, h[:, :d].T @ du, _ones(n) @ du
     dz += du @ p["W1"].T
     out["O"] = o.T @ dz
-    do = (dz @ p["O"].T).reshape(shape)
+    do = dz @ p["O"].T
+    along, do = np.einsum("ij,ij->i", do, o).reshape(*shape[:2], 1), do.reshape(shape)
     da = do @ v.transpose(0, 2, 1)
-    dqkv = np.empty((len(x), 3 * d), np.float32)
-    dqkv[:, 2 * d :] = (a.transpose(0, 2, 1) @ do).reshape(-1, d)
-    da -= np.einsum("bij,bij->bi", da, a)[..., None]
+    da -= along
     da *= a
-    dqkv[:, :d], dqkv[:, d : 2 * d] = (da @ k).reshape(-1, d), (da.transpose(0, 2, 1) @ q).reshape(-1, d)
-    dqkv[:, :d] *= scale
+    dqkv = np.empty((*shape[:2], 3 * d), np.float32)
+    np.matmul(da, k, out=dqkv[..., :d])
+    np.matmul(da.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * d :])
+    dqkv = dqkv.reshape(-1, 3 * d)
     mixed = x.T @ dqkv
-    out["Q"], out["K"], out["V"] = mixed[:, :d], mixed[:, d : 2 * d], mixed[:, 2 * d :]
-    dz += dqkv @ np.concatenate([p["Q"], p["K"], p["V"]], axis=1).T
+    out["Q"], out["K"], out["V"] = mixed[:, :d] * scale, mixed[:, d : 2 * d], mixed[:, 2 * d :]
+    dz += dqkv @ into.T
     out["P"] = dz.reshape(shape).sum(0)
     seen = r.ravel()
-    order = np.argsort(seen.astype(np.uint16), kind="stable")
-    seen = seen[order]
-    first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-    out["E"], out["dE"] = seen[first], np.add.reduceat(dz[order], first)
+    out["E"] = np.flatnonzero(np.bincount(seen))
+    cells = np.bincount((seen[:, None] * d + np.arange(d)).ravel(), dz.ravel())
+    out["dE"] = cells.reshape(-1, d)[out["E"]].astype(np.float32)
     return loss, out
 
 
@@ -248,22 +274,26 @@ def learn(p: dict[str, np.ndarray], vocab: Vocabulary, ins: np.ndarray, outs: np
     """One pass of Adam over the windows, in a shuffled order; changes p, and state, by which a later call goes on. Embeddings
     of ids that a batch lacks stay as they are. Returns the mean loss."""
     order, losses = np.random.default_rng(seed).permutation(len(ins)), []
-    state = {} if state is None else state
-    m, s = (state.setdefault(x, {k: np.zeros_like(y) for k, y in p.items()}) for x in "ms")
+    state, rest = {} if state is None else state, [k for k in NAMES if k != "E"]
+    flat, first = np.concatenate([p[k].ravel() for k in rest]), 0
+    for k in rest:  # all but the embeddings are parts of one array, to be moved at once
+        p[k] = flat[first : first + p[k].size].reshape(p[k].shape)
+        first += p[k].size
+    ms = state.setdefault("ms", {"rest": (np.zeros_like(flat), np.zeros_like(flat)), "E": (np.zeros_like(p["E"]), np.zeros_like(p["E"]))})
     step = state.get("step", 0)
     for i in range(0, len(order), batch):
         at = order[i : i + batch]
         loss, grad = gradient(p, vocab, ins[at], outs[at])
         losses.append(loss)
         step += 1
-        seen, own = grad.pop("E"), grad.pop("dE")
         fix, unfix = np.float32(1 / (1 - 0.9**step)), np.float32(1 / (1 - 0.98**step))
-        for k, g in [*grad.items(), ("E", own)]:
-            where = seen if k == "E" else slice(None)
-            mk, sk = m[k][where], s[k][where]
+        for x, (m, s), where, g in (
+            (flat, ms["rest"], slice(None), np.concatenate([grad[k].ravel() for k in rest])), (p["E"], ms["E"], grad["E"], grad["dE"]),
+        ):
+            mk, sk = m[where], s[where]
             mk += np.float32(0.1) * (g - mk)
             sk += np.float32(0.02) * (g * g - sk)
-            m[k][where], s[k][where] = mk, sk
-            p[k][where] -= np.float32(rate) * fix * mk / (np.sqrt(sk * unfix) + np.float32(1e-6))
+            m[where], s[where] = mk, sk
+            x[where] -= np.float32(rate) * fix * mk / (np.sqrt(sk * unfix) + np.float32(1e-6))
     state["step"] = step
     return float(np.mean(losses)) if losses else 0.0

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, id_fold, kept, packed, parts, small_batches, spill, summed, table, take_over, text_bytes
+from .common import discard, id_fold, kept, packed, parts, small_batches, spill, summed, table, take_over
 
 #: Words with so many ranks are looked up in memory by every task; the counts of all others are joined.
 SENT_WORDS = 100_000
@@ -16,44 +16,74 @@ SENT_WORDS = 100_000
 PER_TRAINER, HELD_WINDOWS = 30_000, 1 << 15
 #: Learning rates of the rounds; between rounds the trainers' weights are averaged.
 RATES = (0.01, 0.006, 0.003, 0.001)
-#: A chunk takes texts until it has so many bytes.
-CHUNK_BYTES = 2 << 20
+#: A chunk takes texts until it has so many bytes. Words are told apart, encoded and counted in so many chunks at once.
+CHUNK_BYTES, TOGETHER = 2 << 20, 4
 _CHUNK = "kind int, docs binary, words binary, hashes binary, lengths binary, ids binary, word long, n long, blob binary"
-_SIGN = 1 << 63
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
+def _spans(lengths, at):
+    """Where the items of the groups ``at`` are, among the items of all groups, of which there are so many in each."""
+    import numpy as np
+
+    own = lengths[at]
+    before = np.cumsum(own) - own
+    return np.arange(int(own.sum())) + np.repeat((np.cumsum(lengths) - lengths)[at] - before, own)
 
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (_SIGN << 1) if h >= _SIGN else h
 
+def _cut(texts):
+    """A column of texts to their words, A-Z lower-cased: the distinct ones, each word's place among these, and how many words each text has."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-class _Words(dict):
-    """A number for each word since the last reset; by number, the word's hash and its subword ids (with a space before it) as 16-bit numbers."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes, found = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+    own, places = found.dictionary.cast(pa.large_binary()).to_pylist(), found.indices.to_numpy()
+    if b"" in own:  # before white space at the start of a text, and behind it at the end
+        empty = own.index(b"")
+        word = places != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[word], minlength=len(sizes))
+        places = places[word]
+        places = places - (places > empty)
+        own.pop(empty)
+    return own, places, sizes
 
-    def __init__(self, name: str):
-        import struct
 
+#: White space beyond ASCII.
+_WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class _Words:
+    """Subword ids of words with a space before them."""
+
+    def __init__(self, name: str):
+        import numpy as np
         import public_tokenizers
         import tiktoken
 
         from .bpe import read_ranks
 
         ranks = read_ranks(public_tokenizers.path(name) if "/" not in name else name)
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.pack, self.size, self.ids, self.hashes = struct.pack, max(ranks.values()) + 1, [], []
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.bytes_of = np.zeros(self.size, np.int64)
+        self.bytes_of[list(ranks.values())] = list(map(len, ranks))
+
+    def encoded(self, words: list[bytes]):
+        """The words' ids, one word after the other, and how many each has.
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.ids)
-        got = self.encode(" " + word.decode())
-        self.ids.append(self.pack(f"<{len(got)}H", *got))
-        self.hashes.append(_word_hash(word))
-        return n
+        A match of the pattern never goes on from one word into the space before the next, unless there is white space beyond ASCII
+        in them; so the words are encoded as one text and its ids dealt out by their bytes. With such white space it is word by word.
+        """
+        import numpy as np
 
-    def reset(self) -> None:
-        self.clear()
-        self.ids, self.hashes = [], []
+        text = " " + b" ".join(words).decode()
+        if not any(x in text for x in _WIDE):
+            ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
+            return ids.astype(np.uint16), np.diff(last, prepend=-1)
+        each = [self.encoding.encode_ordinary(" " + w.decode()) for w in words]
+        return np.array([i for x in each for i in x], np.uint16), np.array([len(x) for x in each], np.int64)
 
 
 @kept("lm-words")
@@ -67,6 +97,8 @@ def _prepare(name: str):
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+        import xxhash
 
         fields = {"kind": pa.int32()} | dict.fromkeys(("docs", "words", "hashes", "lengths", "ids"), pa.binary()) | {"word": pa.int64(), "n": pa.int64(), "blob": pa.binary()}
 
@@ -76,53 +108,52 @@ def _prepare(name: str):
 
         take_over("lm-words")
         words = _words(name)
-        words.reset()
-        id_counts, seen = np.zeros(words.size + 1, np.int64), np.zeros(1 << 19, np.int64)
-
-        def counted():
-            """The counts of the words so far, after which the words begin anew."""
-            n = np.flatnonzero(seen[: len(words.ids)])
-            got = rows(1, len(n), word=np.array(words.hashes, np.int64)[n], n=seen[n])
-            ids = b"".join(words.ids)
-            lengths = np.fromiter(map(len, words.ids), np.int64, len(words.ids)) // 2
-            id_counts[:-1] += np.bincount(np.frombuffer(ids, np.uint16), np.repeat(seen[: len(lengths)], lengths), words.size).astype(np.int64)
-            words.reset()
-            seen[:] = 0
-            return got
-
-        def chunk():
-            nonlocal seen
-            sizes = np.array([len(x) for x in texts], np.int64)
-            every, docs = np.array([n for x in texts for n in x], np.int64), np.array(meta, np.int64).reshape(-1, 3)
-            if len(words.ids) > len(seen):
-                seen = np.append(seen, np.zeros(len(words.ids), np.int64))
-            out = np.repeat(docs[:, 1] == 0, sizes)
-            found = np.bincount(every[out], minlength=1)
-            seen[: len(found)] += found
-            id_counts[-1] += int((docs[:, 1] == 0).sum())
-            own, numbers = np.unique(every, return_inverse=True)
-            ids = [words.ids[i] for i in own.tolist()]
-            return rows(
-                0, 1, docs=[np.concatenate([docs, sizes[:, None]], axis=1).tobytes()], words=[numbers.astype(np.uint32).tobytes()], hashes=[np.array([words.hashes[i] for i in own.tolist()], np.int64).tobytes()],
-                lengths=[np.array([len(x) // 2 for x in ids], np.uint32).tobytes()], ids=[b"".join(ids)],
-            )
-
-        texts, meta, size = [], [], 0
+        id_counts = np.zeros(words.size + 1, np.int64)
+
+        def chunks():
+            """The held texts' chunks, and the counts of their words."""
+            docs, out, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            out = out.cast(pa.int64()).to_numpy()
+            own, places, sizes = _cut(texts)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
+            ids, lengths = words.encoded(own) if own else (np.empty(0, np.uint16), np.empty(0, np.int64))
+            counts = np.bincount(places[np.repeat(out == 0, sizes)], minlength=len(own))
+            id_counts[:-1] += np.bincount(ids, np.repeat(counts, lengths), words.size).astype(np.int64)
+            id_counts[-1] += int((out == 0).sum())
+            meta = np.column_stack([docs.fill_null(0).to_numpy(), out, docs.is_valid().cast(pa.int64()).to_numpy(), sizes]).astype(np.int64)
+            word, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+            for last in cuts:
+                at = places[word[first] : word[last]]
+                there = np.zeros(len(own), bool)
+                there[at] = True
+                mine = np.flatnonzero(there)
+                yield rows(
+                    0, 1, docs=[meta[first:last].tobytes()], words=[(np.cumsum(there) - 1)[at].astype(np.uint32).tobytes()], hashes=[hashes[mine].tobytes()],
+                    lengths=[lengths[mine].astype(np.uint32).tobytes()], ids=[ids[_spans(lengths, mine)].tobytes()],
+                )
+                first = last
+            n = np.flatnonzero(counts)
+            yield rows(1, len(n), word=hashes[n], n=counts[n])
+
+        held, cuts, size, count = [], [], 0, 0
         for batch in batches:
-            for doc, out, text in zip(batch.column(0), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                texts.append(list(map(words.__getitem__, text.lower().split())))
-                meta.append((doc.as_py() or 0, int(out), int(doc.is_valid)))
-                size += len(text) + 50
+            first = 0
+            for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+                size += n + 50
                 if size > CHUNK_BYTES:
-                    yield chunk()
-                    texts, meta, size = [], [], 0
-                    if len(words) > 250_000:
-                        yield counted()
-        if texts:
-            yield chunk()
-        if seen.any():
-            yield counted()
-        words.reset()
+                    cuts.append(count + i + 1 - first)
+                    size = 0
+                    if len(cuts) == TOGETHER:
+                        held.append(batch.slice(first, i + 1 - first))
+                        yield from chunks()
+                        held, cuts, count, first = [], [], 0, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+                count += batch.num_rows - first
+        if held:
+            if count > (cuts or [0])[-1]:
+                cuts.append(count)
+            yield from chunks()
         if id_counts.any():
             yield rows(2, 1, blob=[packed(id_counts)])
 
@@ -151,17 +182,15 @@ class _Chunk:
 
         sizes = self.docs[:, 3]
         words = self.words[np.repeat(take, sizes)]
-        lengths = self.lengths[words]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(ends[-1]) + np.repeat((np.cumsum(self.lengths) - self.lengths)[words] - ends[:-1], lengths)
-        return self.ids[at].astype(np.int32), np.diff(ends[np.concatenate([[0], np.cumsum(sizes[take])])])
+        ends = np.concatenate([[0], np.cumsum(self.lengths[words])])
+        return self.ids[_spans(self.lengths, words)].astype(np.int32), np.diff(ends[np.concatenate([[0], np.cumsum(sizes[take])])])
 
 
 _SENT = ("docs", "words", "hashes", "lengths", "ids")
 
 
-def _count_pairs(sent, size: int):
-    """Chunks to the counts of ids after classes, in training texts."""
+def _count_pairs(sent):
+    """Chunks to the counts of ids after classes, in training texts, with a column for each id that occurs in them."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -170,15 +199,16 @@ def _count_pairs(sent, size: int):
         from . import attention as A
 
         take_over("lm")
-        vocab = sent.value
-        pairs = np.zeros(vocab.classes * (size + 1), np.int32)  # a task's own; sums of tasks have 64 bits
+        vocab, there = sent.value
+        column = np.zeros(len(vocab.cls), np.int64)
+        column[there] = np.arange(len(there))
+        pairs = np.zeros(vocab.classes * len(there), np.int32)  # a task's own; sums of tasks have 64 bits
         for batch in batches:
             for chunk in _Chunk.of(batch):
                 flat, sizes = chunk.tokens(chunk.docs[:, 1] == 0)
                 x, y, _ = A.rows(flat, sizes, vocab, A.BLOCK)
                 x, y = x[y >= 0], y[y >= 0]
-                at, n = np.unique(vocab.cls[x].astype(np.int64) * (size + 1) + y, return_counts=True)
-                pairs[at] += n.astype(np.int32)
+                np.add.at(pairs, vocab.cls[x].astype(np.int64) * len(there) + column[y], np.int32(1))
         if pairs.any():
             yield pa.RecordBatch.from_arrays([pa.array([packed(pairs.astype(np.int64))], pa.binary())], names=["blob"])
 
@@ -222,7 +252,7 @@ def _train_round(sent, weights: bytes, turn: int):
 
 
 def _score(sent, weights: bytes, hot, floor: float):
-    """Chunks to (doc_id, held_out, n_tokens, n_known, base, score, rare, times) rows; rare: the hashes of words whose counts aren't in memory."""
+    """Chunks to (doc_id, held_out, n_tokens, n_known, base, score, rare, times) rows; rare: the hashes of words whose counts aren't in memory, once by text; times: how often they are there."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -233,7 +263,7 @@ def _score(sent, weights: bytes, hot, floor: float):
         take_over("lm")
         known, value = hot.value
         scorer = A.Scorer(A.unpack(np.frombuffer(weights, np.float32)), sent.value)
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"]
         for batch in batches:
             for chunk in _Chunk.of(batch):
                 sizes, n = chunk.docs[:, 3], len(chunk.docs)
@@ -244,12 +274,14 @@ def _score(sent, weights: bytes, hot, floor: float):
                 told = found[chunk.words]
                 doc = np.repeat(np.arange(n), sizes)
                 counts = np.bincount(doc, told, n).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes - counts)]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(chunk.hashes[chunk.words[~told]], pa.int64()))
+                wide = max(len(chunk.hashes), 1)
+                cells, times = np.unique(doc[~told] * wide + chunk.words[~told], return_counts=True)
+                offsets = pa.array(np.searchsorted(cells, np.arange(n + 1) * wide).astype(np.int32))
+                rare, times = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (chunk.hashes[cells % wide], times))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(chunk.docs[:, 0], pa.int64(), mask=chunk.docs[:, 2] == 0), pa.array(chunk.docs[:, 1] == 1), pa.array(sizes + 1), pa.array(counts),
-                        pa.array(np.bincount(doc, base, n) + floor, pa.float64()), pa.array(scores, pa.float64()), rare,
+                        pa.array(np.bincount(doc, base, n) + floor, pa.float64()), pa.array(scores, pa.float64()), rare, times,
                     ],
                     names=names,
                 )
@@ -296,11 +328,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = sc.broadcast((top.word.to_numpy(np.int64), np.log10(top.n.to_numpy(float) + 0.1) - math.log10(n + 0.1 * (v + 1))))
 
     vocab, pairs, grouped = A.vocabulary(counts.astype(np.float64)), None, False
+    there = np.flatnonzero(counts)
     for _ in range(2):
-        sent = sc.broadcast(vocab)
-        pairs = summed(chunks.mapInArrow(_count_pairs(sent, size), "blob binary"), "int64")
+        sent = sc.broadcast((vocab, there))
+        found = summed(chunks.mapInArrow(_count_pairs(sent), "blob binary"), "int64")
         sent.destroy()
-        pairs = None if pairs is None else pairs.reshape(vocab.classes, size + 1)
+        if found is not None:
+            pairs = np.zeros((vocab.classes, size + 1), np.int64)
+            pairs[:, there] = found.reshape(vocab.classes, len(there))
         if not grouped and pairs is not None:
             vocab, grouped = A.vocabulary(counts.astype(np.float64), pairs[:, :-1]), True
     sent = sc.broadcast(vocab)
@@ -317,13 +352,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = sc.broadcast(vocab)
 
     scored = chunks.mapInArrow(
-        _score(sent, weights.tobytes(), hot, log(ends)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+        _score(sent, weights.tobytes(), hot, log(ends)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
     ).withColumn("rid", F.monotonically_increasing_id())
     scored = spill(scored, "lm-scores")
     discard(made)
     sent.destroy()
     hot.destroy()
-    rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k"))
+    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(words, "word", "left").groupBy("rid").agg(
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * (F.log10(c + 0.1) - F.lit(math.log10(n + 0.1 * (v + 1))))).alias("b")

@@ -530,6 +530,68 @@ def test_language_model_learns_from_every_window_once(spark, monkeypatch):
         assert sum(x[-1] for kind, x in sums if kind == "float64") == sum(-(-(k + 1) // (2 * A.BLOCK)) for k in ids)
 
 
+def test_language_model_encodes_words_together(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    import tiktoken
+    import xxhash
+
+    name = "byte_bpe_multi_50k.tiktoken"
+    lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(name)), special_tokens={})
+    encode, sign = lambda w: lib.encode_ordinary(" " + w.decode()), lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64))
+    r = random.Random(3)
+    plain = [words(r, r.randint(0, 60)) + "  it's 12345 a.b" for _ in range(40)]
+    plain += ["", "  ", "\tÉcole \n\x0b ÀB!! ", "x" * 3000, "\x1cb \x1f", "O'S 's"]
+    odd = ["a\xa0 \xa0b c", "\u3000 d\u2003e\x85", "\xa0"]  # the pattern joins white space across words
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1500)
+    for texts, together in ((plain[:40], True), (plain, False), (plain + odd, False), (odd * 50, False), ([""], True), ([], True)):
+        calls, words_ = [], lm._words(name)
+
+        class Counted:
+            def encode_to_numpy(self, text, **k):
+                calls.append(text)
+                return lib.encode_to_numpy(text, **k)
+
+            def encode_ordinary(self, text):
+                calls.append(text)
+                return lib.encode_ordinary(text)
+
+        monkeypatch.setattr(words_, "encoding", Counted())
+        ids, out = [None if i == 7 else i for i in range(len(texts))], [i % 5 == 0 for i in range(len(texts))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 9], pa.int64()), pa.array(out[i : i + 9]), pa.array(texts[i : i + 9], pa.string())], names=["a", "b", "c"]) for i in range(0, len(texts), 9)]
+        rows = [x for b in lm._prepare(name)(iter(batches)) for x in b.to_pylist()]
+        chunks = [lm._Chunk(*(x[k] for k in lm._SENT)) for x in rows if x["kind"] == 0]
+        assert [tuple(d) for c in chunks for d in c.docs] == [(i or 0, int(o), int(i is not None), len(t.encode().lower().split())) for i, o, t in zip(ids, out, texts, strict=True)]
+        got = [[int(c.hashes[w]) for w in c.words] for c in chunks]
+        assert sum(got, []) == [sign(w) for t in texts for w in t.encode().lower().split()]
+        tokens = [c.tokens(np.full(len(c.docs), True)) for c in chunks]
+        want = [[x for w in t.encode().lower().split() for x in encode(w)] for t in texts]
+        assert [int(x) for f, _ in tokens for x in f] == sum(want, []) and [int(n) for _, n in tokens for n in n] == list(map(len, want))
+        counts, by_id = collections.Counter(), collections.Counter()
+        for x in rows:
+            if x["kind"] == 1:
+                counts[x["word"]] += x["n"]
+        for t, w, o in zip(texts, want, out, strict=True):
+            by_id.update([] if o else w)
+            counts.subtract([] if o else [sign(x) for x in t.encode().lower().split()])
+        assert not any(counts.values())
+        total = sum((np.frombuffer(zlib.decompress(x["blob"]), np.int64) for x in rows if x["kind"] == 2), np.zeros(words_.size + 1, np.int64))
+        assert total[-1] == len(texts) - sum(out) and {int(i): int(total[i]) for i in np.flatnonzero(total[:-1])} == by_id
+        assert not together or len(calls) <= -(-len(chunks) // lm.TOGETHER)  # and not one for each word
+
+
+def test_exponentials_and_scores_without_the_faster_kernel(monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(0, 20, (50, 3, 7)).astype(np.float32)
+    assert np.allclose(A._exp()(x.copy()), np.exp(x), rtol=1e-6)
+    texts = [r.integers(0, 40, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 90)]
+    vocab, p = A.vocabulary(np.append(np.bincount(np.concatenate(texts), minlength=300), len(texts)).astype(float)), A.fresh()
+    with_kernel = A.Scorer(p, vocab).score(*flat(texts))
+    monkeypatch.setattr(A, "_exp", lambda: np.exp)
+    assert np.allclose(A.Scorer(p, vocab).score(*flat(texts)), with_kernel, rtol=1e-5)
+    assert np.allclose(with_kernel, [slow_log10(p, vocab, t) for t in texts], rtol=1e-3)
+
+
 def slow_log10(p, vocab, ids):
     """A text's log10 probability, one id after the other, by the definition."""
     x, y, total = np.append(vocab.start, ids), np.append(ids, vocab.end), 0.0
